@@ -5,9 +5,14 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from .decontaminate import contaminated
 from .exact_dedup import duplicate_groups
+from .line_templates import drop_recurring_lines
 from .ngram_join import jaccard_components
+from .quality_crf import classified
+from .sentencepiece_viterbi import read_model, round_trips
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -16,14 +21,75 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def tokenizer_file(name: str) -> str:
+    """Where a public tokenizer's file is on this machine."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op1_quality_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return classified(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op2_line_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = drop_recurring_lines(_table(spark, sf_dir, "documents"))
+    text = F.coalesce("text", F.lit(""))
+    return out.select("doc_id", F.col("_lines").alias("n_lines"), F.col("_dropped").alias("n_dropped"), F.sha2(text, 256).alias("text_sha256"))
+
+
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return duplicate_groups(_table(spark, sf_dir, "documents"))
 
 
+def op6_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op8_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(_table(spark, sf_dir, "documents"))
 
 
+def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return round_trips(_table(spark, sf_dir, "documents"), read_model(tokenizer_file("piece_bpe_32k.model")))
+
+
+#: From documents to `kept`: doc_id, n_lines, n_dropped and text after line dedup.
+LINES_CTE = r"""
+with raw as (
+  select doc_id, text, unnest(string_split(coalesce(text, ''), chr(10))) as raw, unnest(range(len(string_split(coalesce(text, ''), chr(10))))) as line_no from documents
+), flat as (
+  select doc_id, line_no, trim(regexp_replace(raw, '[\x20\x09\x0B-\x0D]+', ' ', 'g'), ' ') as line from raw
+), lines as (
+  select doc_id, line_no, string_split(regexp_replace(line, '[^ ]*[0-9][^ ]*', '<*>', 'g'), ' ') as toks from flat
+), cand as (
+  select doc_id, line_no, toks, len(toks) as size, toks[1:3] as lead from lines where len(toks) >= 4
+), once as (
+  select toks, size, lead, count(distinct doc_id) as docs from cand group by all
+), tokens as (
+  select toks, size, lead, docs, unnest(toks) as token, unnest(range(len(toks))) as pos from once
+), support as (
+  select size, lead, pos, token, sum(docs) as support from tokens where token <> '<*>' group by all
+), shapes as (
+  select t.toks, list(case when s.support >= 5 then t.token else '<*>' end order by t.pos) as template,
+    count(*) filter (where s.support >= 5) as constants, any_value(t.size) as size
+  from tokens t left join support s on t.size = s.size and t.lead = s.lead and t.pos = s.pos and t.token = s.token
+  group by t.toks
+), fit as (
+  select cand.doc_id, cand.line_no, template from cand join shapes using (toks) where constants >= 4 and 2 * constants >= shapes.size
+), heads as (
+  select template, count(distinct doc_id) as docs, min({'d': doc_id, 'l': line_no}) as head from fit group by template having count(distinct doc_id) >= 5
+), gone as (
+  select fit.doc_id, fit.line_no from fit join heads using (template) where {'d': fit.doc_id, 'l': fit.line_no} <> head
+), kept as (
+  select raw.doc_id, count(*) as n_lines, count(g.line_no) as n_dropped,
+    string_agg(raw.raw, chr(10) order by raw.line_no) filter (where g.line_no is null) as text
+  from raw left join gone g on raw.doc_id = g.doc_id and raw.line_no = g.line_no group by raw.doc_id
+)
+"""
+
+OP2_SQL = LINES_CTE + "select doc_id, n_lines, n_dropped, sha256(coalesce(text, '')) as text_sha256 from kept"
+
 OP5_SQL = r"""
 with n as (
   select doc_id, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')) as text_sha256 from documents
@@ -36,8 +102,8 @@ from n
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op5_exact_dedup, op8_ngram_jaccard_join)}
+    return {f.__name__: f for f in (op1_quality_crf, op2_line_templates, op5_exact_dedup, op6_benchmark_decontamination, op8_ngram_jaccard_join, op9_sentencepiece)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_exact_dedup": OP5_SQL}
+    return {"op2_line_templates": OP2_SQL, "op5_exact_dedup": OP5_SQL}
