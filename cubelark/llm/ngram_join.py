@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from . import text as tx
 from .bloom_bits import bitmap, bits_for, keep_possible, positions
 from .components import components
-from .store import durable
+from .store import durable, release
 
 #: Words of the 512-bit parity sketch.
 LANES = 8
@@ -267,7 +267,10 @@ def verified(docs: DataFrame, classes: DataFrame, pairs: DataFrame) -> DataFrame
     left = pairs.join(sets.select(F.col("doc_id").alias("b"), F.col("tokens").alias("tb")), "b")
     both = left.join(sets.select(F.col("doc_id").alias("a"), F.col("tokens").alias("ta")), "a")
     both = both.select("a", "b", F.size("ta").cast("long").alias("na"), F.size("tb").cast("long").alias("nb"), F.size(F.array_intersect("ta", "tb")).cast("long").alias("common"))
-    return durable(both.where("100 * common >= 80 * (na + nb - common)").select("a", "b"))
+    links = durable(both.where("100 * common >= 80 * (na + nb - common)").select("a", "b"))
+    del held, sets, left, both
+    release(docs.sparkSession)
+    return links
 
 
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -286,6 +289,8 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     keys = docs.mapInArrow(key_rows, "key long, h long")
     buckets = keys.repartition("key").sortWithinPartitions("key", "h").mapInArrow(shared_keys, "key long, h long, star long")
     buckets = durable(buckets)
+    del keys
+    release(docs.sparkSession)
     of = classes.select("h1", "id")
     buckets = buckets.join(of.withColumnRenamed("id", "member"), F.col("h") == F.col("h1")).drop("h", "h1")
     buckets = durable(buckets.join(of.withColumnRenamed("id", "center"), F.col("star") == F.col("h1")).select("key", "member", "center"))
