@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from . import text as tx
 from .bloom_bits import bitmap, bits_for, keep_possible, positions
 from .components import components
-from .store import durable, release
+from .store import release, written
 
 #: Words of the 512-bit parity sketch.
 LANES = 8
@@ -159,7 +159,9 @@ def key_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def shared_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """From rows sorted by (key, h), the distinct rows whose key has several h, each with a star.
 
-    State between batches is one row: memory doesn't grow with a key's rows.
+    A bucket seen whole is renamed after its members, so that buckets with the same
+    members become equal rows. State between batches is one row: memory doesn't
+    grow with a key's rows.
     """
     held: tuple[int, int] | None = None  # the last distinct row of the key at hand
     star: int | None = None  # set once that key has shown two different h
@@ -178,7 +180,12 @@ def shared_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, h = key[new], h[new]
         starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
         counts = np.diff(np.concatenate([starts, [len(key)]]))
-        rank = tx.mix(h.view(_U) ^ (key.view(_U) & _U(3)))
+        whole = np.ones(len(starts), bool)
+        whole[-1] = False
+        whole[0] &= not prior
+        members = tx.mix(np.add.reduceat(tx.mix(h.view(_U)), starts) ^ counts.astype(_U)).view(np.int64)
+        name = np.repeat(np.where(whole, members, key[starts]), counts)
+        rank = tx.mix(h.view(_U) ^ (name.view(_U) & _U(3)))
         best = np.minimum.reduceat(rank, starts)
         run = np.repeat(np.arange(len(starts)), counts)
         at = np.flatnonzero(rank == best[run])
@@ -195,7 +202,7 @@ def shared_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last = counts[-1] > 1 or (len(starts) == 1 and prior)
         held, star = (int(key[-1]), int(h[-1])), (int(pick[-1]) if last else None)
         if emit.any():
-            yield out(key[emit], h[emit], pick[run][emit])
+            yield out(name[emit], h[emit], pick[run][emit])
 
 
 def _distance(a: str, b: str) -> str:
@@ -257,17 +264,17 @@ def verified(docs: DataFrame, classes: DataFrame, pairs: DataFrame) -> DataFrame
     Only texts that a bounded Bloom bitmap of the needed ids lets through are
     shuffled, and of them only shingle hashes.
     """
-    pairs = durable(pairs)
+    pairs = written(pairs)
     needed = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
     bits = bits_for(needed.count())
     at = needed.select(F.explode(F.array(*positions(F.col("id"), bits))).alias("p"))
     held = keep_possible(docs, bitmap(at, "p"), F.col("doc_id"), bits).where("_maybe").select("doc_id", "text")
     sets = held.mapInArrow(token_rows, "doc_id long, tokens array<long>")
-    sets = durable(sets.join(needed, F.col("doc_id") == F.col("id"), "left_semi"))
+    sets = written(sets.join(needed, F.col("doc_id") == F.col("id"), "left_semi"))
     left = pairs.join(sets.select(F.col("doc_id").alias("b"), F.col("tokens").alias("tb")), "b")
     both = left.join(sets.select(F.col("doc_id").alias("a"), F.col("tokens").alias("ta")), "a")
     both = both.select("a", "b", F.size("ta").cast("long").alias("na"), F.size("tb").cast("long").alias("nb"), F.size(F.array_intersect("ta", "tb")).cast("long").alias("common"))
-    links = durable(both.where("100 * common >= 80 * (na + nb - common)").select("a", "b"))
+    links = written(both.where("100 * common >= 80 * (na + nb - common)").select("a", "b"))
     del held, sets, left, both
     release(docs.sparkSession)
     return links
@@ -283,26 +290,26 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     Other columns of the input are ignored, whatever their names.
     """
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    sets = durable(docs.mapInArrow(set_rows, SETS))
+    sets = written(docs.mapInArrow(set_rows, SETS))
     lanes = [f"s{i}" for i in range(LANES)]
-    classes = durable(sets.where("n > 0").groupBy("n", "h1", "h2").agg(F.min("doc_id").alias("id"), *(F.min(s).alias(s) for s in lanes)))
+    classes = written(sets.where("n > 0").groupBy("n", "h1", "h2").agg(F.min("doc_id").alias("id"), *(F.min(s).alias(s) for s in lanes)))
     keys = docs.mapInArrow(key_rows, "key long, h long")
     buckets = keys.repartition("key").sortWithinPartitions("key", "h").mapInArrow(shared_keys, "key long, h long, star long")
-    buckets = durable(buckets)
+    buckets = written(buckets.distinct())
     del keys
     release(docs.sparkSession)
     of = classes.select("h1", "id")
     buckets = buckets.join(of.withColumnRenamed("id", "member"), F.col("h") == F.col("h1")).drop("h", "h1")
-    buckets = durable(buckets.join(of.withColumnRenamed("id", "center"), F.col("star") == F.col("h1")).select("key", "member", "center"))
+    buckets = written(buckets.join(of.withColumnRenamed("id", "center"), F.col("star") == F.col("h1")).select("key", "member", "center"))
 
     small = classes.select("id", "n", *lanes)
     pairs = buckets.where("member <> center").select(F.least("member", "center").alias("a"), F.greatest("member", "center").alias("b")).distinct()
     pairs = pairs.join(small.alias("x"), F.col("a") == F.col("x.id")).join(small.alias("y"), F.col("b") == F.col("y.id"))
     links = verified(docs, classes, pairs.where(_POSSIBLE.format(_distance("x", "y"))).select("a", "b"))
-    merged = durable(components(links))
+    merged = written(components(links))
 
     labelled = buckets.select("key", F.col("member").alias("id")).join(merged, "id", "left").withColumn("label", F.coalesce("component", "id")).drop("component")
-    labelled = durable(labelled)
+    labelled = written(labelled)
     mixed = labelled.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("members")).where("lo <> hi")
     left = labelled.join(mixed.select("key", "members"), "key").join(small, "id")
     blocks = F.ceil(F.col("members") / BLOCK).cast("int")

@@ -9,10 +9,12 @@ from pyspark.sql import functions as F
 
 from .decontaminate import contaminated
 from .exact_dedup import duplicate_groups
+from .kd_shards import kd_shards
 from .line_templates import drop_recurring_lines
 from .ngram_join import jaccard_components
 from .quality_crf import classified
 from .sentencepiece_viterbi import read_model, round_trips
+from .simple8b import encode_to_index
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -46,6 +48,10 @@ def op6_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op7_simple8b_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encode_to_index(_table(spark, sf_dir, "documents"), read_model(tokenizer_file("word_bpe_49k.json")), end_id=2)
+
+
 def op8_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(_table(spark, sf_dir, "documents"))
 
@@ -54,6 +60,10 @@ def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trips(_table(spark, sf_dir, "documents"), read_model(tokenizer_file("piece_bpe_32k.model")))
 
 
+def op10_kd_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return kd_shards(_table(spark, sf_dir, "documents"), shards=8)
+
+
 #: From documents to `kept`: doc_id, n_lines, n_dropped and text after line dedup.
 LINES_CTE = r"""
 with raw as (
@@ -102,7 +112,7 @@ from n
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_quality_crf, op2_line_templates, op5_exact_dedup, op6_benchmark_decontamination, op8_ngram_jaccard_join, op9_sentencepiece)}
+    return {f.__name__: f for f in (op1_quality_crf, op2_line_templates, op5_exact_dedup, op6_benchmark_decontamination, op7_simple8b_tokens, op8_ngram_jaccard_join, op9_sentencepiece, op10_kd_shards)}
 
 
 def oracle_sql() -> dict[str, str]:
