@@ -90,7 +90,31 @@ def _sketch(tokens: np.ndarray, offs: np.ndarray) -> np.ndarray:
     return np.packbits(odd.reshape(n, bits), axis=1, bitorder="little").view(_U)
 
 
-SETS = "doc_id long, n long, h1 long, h2 long, " + ", ".join(f"s{i} long" for i in range(LANES))
+def _wide_sketches(tokens: np.ndarray, offs: np.ndarray) -> list[bytes]:
+    """A parity sketch of at least two bits a shingle, a power of two; folding a longer one by XOR gives a shorter one."""
+    n = np.diff(offs)
+    bits = 64 << np.ceil(np.log2(np.maximum(n, 32) / 32)).astype(np.int64)
+    base = np.concatenate([[0], np.cumsum(bits)])
+    at = np.repeat(base[:-1], n) + (tokens >> _U(9) & np.repeat(bits - 1, n).astype(_U)).astype(np.int64)
+    packed = np.packbits(np.bincount(at, minlength=base[-1]).astype(np.uint8) & 1, bitorder="little")
+    return [packed[a // 8 : b // 8].tobytes() for a, b in zip(base[:-1], base[1:], strict=True)]
+
+
+def close_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of pairs with both sizes and wide sketches, those whose sketches don't rule a link out."""
+    for batch in batches:
+        na, nb = batch.column(2).to_pylist(), batch.column(3).to_pylist()
+        keep = []
+        for i, (x, y) in enumerate(zip(batch.column(4), batch.column(5), strict=True)):
+            u, v = np.frombuffer(x.as_buffer(), _U), np.frombuffer(y.as_buffer(), _U)
+            short = min(len(u), len(v))
+            u, v = (np.bitwise_xor.reduce(w.reshape(-1, short), axis=0) for w in (u, v))
+            if 9 * int(np.bitwise_count(u ^ v).sum(dtype=np.int64)) <= na[i] + nb[i]:
+                keep.append(i)
+        yield batch.select(["a", "b"]).take(pa.array(keep, pa.int64()))
+
+
+SETS = "doc_id long, n long, h1 long, h2 long, " + ", ".join(f"s{i} long" for i in range(LANES)) + ", wide binary"
 
 
 def set_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -99,8 +123,8 @@ def set_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             tokens, offs = token_sets(batch)
             h1, h2 = _identity(tokens, offs)
             sk = _sketch(tokens, offs).view(np.int64)
-            cols = [batch.column(0), np.diff(offs), h1.view(np.int64), h2.view(np.int64), *(np.ascontiguousarray(sk[:, i]) for i in range(LANES))]
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["doc_id", "n", "h1", "h2", *(f"s{i}" for i in range(LANES))])
+            cols = [batch.column(0), np.diff(offs), h1.view(np.int64), h2.view(np.int64), *(np.ascontiguousarray(sk[:, i]) for i in range(LANES)), _wide_sketches(tokens, offs)]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["doc_id", "n", "h1", "h2", *(f"s{i}" for i in range(LANES)), "wide"])
 
 
 def section_keys(tokens: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -258,24 +282,28 @@ def token_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(offs.astype(np.int32)), pa.array(tokens.view(np.int64)))], names=["doc_id", "tokens"])
 
 
-def verified(docs: DataFrame, classes: DataFrame, pairs: DataFrame) -> DataFrame:
+def verified(docs: DataFrame, sets: DataFrame, pairs: DataFrame) -> DataFrame:
     """The pairs (a, b) of class representatives whose sets really link.
 
-    Only texts that a bounded Bloom bitmap of the needed ids lets through are
-    shuffled, and of them only shingle hashes.
+    Wide parity sketches rule out most pairs that don't. Only texts that a bounded
+    Bloom bitmap of the needed ids lets through are shuffled, and of them only
+    shingle hashes.
     """
-    pairs = written(pairs)
+    near = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("n").alias("na"), F.col("wide").alias("wa")), "a")
+    near = near.join(sets.select(F.col("doc_id").alias("b"), F.col("n").alias("nb"), F.col("wide").alias("wb")), "b")
+    near = near.select("a", "b", "na", "nb", "wa", "wb").mapInArrow(close_pairs, "a long, b long")
+    pairs = written(near.distinct())
     needed = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
     bits = bits_for(needed.count())
     at = needed.select(F.explode(F.array(*positions(F.col("id"), bits))).alias("p"))
     held = keep_possible(docs, bitmap(at, "p"), F.col("doc_id"), bits).where("_maybe").select("doc_id", "text")
-    sets = held.mapInArrow(token_rows, "doc_id long, tokens array<long>")
-    sets = written(sets.join(needed, F.col("doc_id") == F.col("id"), "left_semi"))
-    left = pairs.join(sets.select(F.col("doc_id").alias("b"), F.col("tokens").alias("tb")), "b")
-    both = left.join(sets.select(F.col("doc_id").alias("a"), F.col("tokens").alias("ta")), "a")
+    exact = held.mapInArrow(token_rows, "doc_id long, tokens array<long>")
+    exact = written(exact.join(needed, F.col("doc_id") == F.col("id"), "left_semi"))
+    left = pairs.join(exact.select(F.col("doc_id").alias("b"), F.col("tokens").alias("tb")), "b")
+    both = left.join(exact.select(F.col("doc_id").alias("a"), F.col("tokens").alias("ta")), "a")
     both = both.select("a", "b", F.size("ta").cast("long").alias("na"), F.size("tb").cast("long").alias("nb"), F.size(F.array_intersect("ta", "tb")).cast("long").alias("common"))
     links = written(both.where("100 * common >= 80 * (na + nb - common)").select("a", "b"))
-    del held, sets, left, both
+    del held, exact, left, both, near
     release(docs.sparkSession)
     return links
 
@@ -305,7 +333,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     small = classes.select("id", "n", *lanes)
     pairs = buckets.where("member <> center").select(F.least("member", "center").alias("a"), F.greatest("member", "center").alias("b")).distinct()
     pairs = pairs.join(small.alias("x"), F.col("a") == F.col("x.id")).join(small.alias("y"), F.col("b") == F.col("y.id"))
-    links = verified(docs, classes, pairs.where(_POSSIBLE.format(_distance("x", "y"))).select("a", "b"))
+    links = verified(docs, sets, pairs.where(_POSSIBLE.format(_distance("x", "y"))).select("a", "b"))
     merged = written(components(links))
 
     labelled = buckets.select("key", F.col("member").alias("id")).join(merged, "id", "left").withColumn("label", F.coalesce("component", "id")).drop("component")
@@ -318,7 +346,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     left = left.withColumn("bucket", F.xxhash64("key", F.least("c", "o"), F.greatest("c", "o")))
     left = left.select("bucket", "id", "label", "n", *lanes).repartition("bucket").sortWithinPartitions("bucket")
     more = left.mapInArrow(cross_class_pairs, "a long, b long").distinct()
-    links = links.union(verified(docs, classes, more))
+    links = links.union(verified(docs, sets, more))
     merged = components(links)
 
     count = links.select(F.col("a").alias("id")).union(links.select("b")).groupBy("id").agg(F.count("*").alias("n_links"))
