@@ -7,9 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .chat_rotation import rotated
 from .decontaminate import contaminated
 from .exact_dedup import duplicate_groups
 from .kd_shards import kd_shards
+from .license_scan import TEMPLATES, scan
 from .line_templates import drop_recurring_lines
 from .ngram_join import jaccard_components
 from .quality_crf import classified
@@ -40,6 +42,14 @@ def op2_line_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.col("_lines").alias("n_lines"), F.col("_dropped").alias("n_dropped"), F.sha2(text, 256).alias("text_sha256"))
 
 
+def op3_perspective_rotation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rotated(_table(spark, sf_dir, "conversations"))
+
+
+def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan(_table(spark, sf_dir, "documents"))
+
+
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return duplicate_groups(_table(spark, sf_dir, "documents"))
 
@@ -100,6 +110,52 @@ with raw as (
 
 OP2_SQL = LINES_CTE + "select doc_id, n_lines, n_dropped, sha256(coalesce(text, '')) as text_sha256 from kept"
 
+OP3_SQL = r"""
+with t as (
+  select distinct conv_id, cast(floor(turn / 256) as bigint) as block, cast(turn as bigint) as turn, role, text from conversations
+), views as (
+  select t.*, p.perspective from t join (select distinct conv_id, block, role as perspective from t where role <> 'system') p using (conv_id, block)
+), pieces as (
+  select *, role = perspective as own,
+    '<|im_start|>' || case when role = perspective then 'assistant' when role = 'system' then 'system' else 'user name=' || role end || chr(10) as head,
+    text || '<|im_end|>' as body
+  from views
+), placed as (
+  select *, coalesce(sum(length(head) + length(body) + 1) over (partition by conv_id, block, perspective order by turn, role, text
+    rows between unbounded preceding and 1 preceding), 0) as begin_at from pieces
+)
+select conv_id, block, cast(0 as bigint) as part, perspective, count(*) as n_turns, count(*) filter (where own) as n_targets,
+  string_agg(head || body || chr(10), '' order by turn, role, text) as text,
+  string_agg(cast(cast(begin_at + length(head) as bigint) as varchar) || ':' || cast(cast(begin_at + length(head) + length(body) as bigint) as varchar), ',' order by begin_at) filter (where own) as loss_spans
+from placed group by conv_id, block, perspective
+"""
+
+OP4_SQL = (
+    """
+with templates as (select * from (values """
+    + ", ".join(f"('{k}', '{v}')" for k, v in TEMPLATES.items())
+    + r""") v(license_id, text)
+), words as (
+  select 'd' as kind, doc_id, null as license_id, string_split(trim(regexp_replace(lower(text), '[^\p{L}\p{N}]+', ' ', 'g'), ' '), ' ') as w from documents where text is not null
+  union all
+  select 't', null, license_id, string_split(trim(regexp_replace(lower(text), '[^\p{L}\p{N}]+', ' ', 'g'), ' '), ' ') from templates
+), shingles as (
+  select kind, doc_id, license_id, i as pos, array_to_string(w[i + 1 : i + 5], ' ') as s from (select *, unnest(range(len(w) - 4)) as i from words where len(w) >= 5)
+), target as (
+  select license_id, s, count(*) over (partition by license_id) as n from (select distinct license_id, s from shingles where kind = 't')
+), size as (
+  select license_id, count(*) as n from shingles where kind = 't' group by 1
+), hits as (
+  select d.doc_id, t.license_id, t.n as distinct_n, size.n, d.s, unnest([d.pos // size.n, d.pos // size.n - 1]) as j
+  from shingles d join target t on d.s = t.s join size on size.license_id = t.license_id where d.kind = 'd'
+), shares as (
+  select doc_id, license_id, j * n as start, count(distinct s) / any_value(distinct_n) as containment from hits where j >= 0 group by doc_id, license_id, j, n
+)
+select doc_id, license_id, round(max(containment), 6) as containment, cast(arg_max(start, {'c': containment, 's': -start}) as bigint) as start
+from shares where containment >= 0.8 group by doc_id, license_id
+"""
+)
+
 OP5_SQL = r"""
 with n as (
   select doc_id, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')) as text_sha256 from documents
@@ -112,8 +168,8 @@ from n
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_quality_crf, op2_line_templates, op5_exact_dedup, op6_benchmark_decontamination, op7_simple8b_tokens, op8_ngram_jaccard_join, op9_sentencepiece, op10_kd_shards)}
+    return {f.__name__: f for f in (op1_quality_crf, op2_line_templates, op3_perspective_rotation, op4_license_scan, op5_exact_dedup, op6_benchmark_decontamination, op7_simple8b_tokens, op8_ngram_jaccard_join, op9_sentencepiece, op10_kd_shards)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_line_templates": OP2_SQL, "op5_exact_dedup": OP5_SQL}
+    return {"op2_line_templates": OP2_SQL, "op3_perspective_rotation": OP3_SQL, "op4_license_scan": OP4_SQL, "op5_exact_dedup": OP5_SQL}
