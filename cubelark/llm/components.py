@@ -8,6 +8,11 @@ from pyspark.sql import functions as F
 from .store import durable
 
 
+def _mark(edges: DataFrame) -> tuple:
+    """Count and two hashes of a set of pairs, to tell whether a round changed it."""
+    return tuple(edges.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v")), F.bit_xor(F.xxhash64("v", "u"))).first())
+
+
 def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(id, component) for every id that has a link; component is the smallest id reachable.
 
@@ -19,6 +24,7 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """
     edges = links.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct()
     edges = durable(edges)
+    mark = _mark(edges)
     while True:
         both = edges.union(edges.select("v", "u"))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
@@ -26,10 +32,9 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u")
         small = small.select(F.col("v").alias("u"), F.col("m").alias("v")).union(small.select("u", F.col("m").alias("v")))
-        after = durable(small.where("u <> v").distinct())
-        changed = after.exceptAll(edges).limit(1).count() or edges.exceptAll(after).limit(1).count()
-        edges = after
-        if not changed:
+        edges = durable(small.where("u <> v").distinct())
+        before, mark = mark, _mark(edges)
+        if mark == before:
             break
     tops = edges.select(F.col("v").alias("id")).distinct().select("id", F.col("id").alias("component"))
     return edges.select(F.col("u").alias("id"), F.col("v").alias("component")).union(tops)

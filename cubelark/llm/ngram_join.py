@@ -25,6 +25,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -237,8 +238,11 @@ def _distance(a: str, b: str) -> str:
 _POSSIBLE = "100 * least(x.n, y.n) >= 80 * greatest(x.n, y.n) and 9 * ({}) <= x.n + y.n"
 
 
-def cross_class_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From rows sorted by block, the possible links between members of different classes."""
+def cross_class_pairs(batches: Iterator[pa.RecordBatch], nearest: bool) -> Iterator[pa.RecordBatch]:
+    """From rows sorted by block, the possible links between members of different classes.
+
+    With `nearest`, for each member and other class only the pair with the least sketch distance.
+    """
     names = ["bucket", "id", "label", "n", *(f"s{i}" for i in range(LANES))]
     rest: pa.Table | None = None
 
@@ -253,7 +257,11 @@ def cross_class_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBa
                 j = j[(label[j] != label[i]) & (100 * np.minimum(n[j], n[i]) >= 80 * np.maximum(n[j], n[i]))]
                 if len(j):
                     far = np.bitwise_count(sk[j] ^ sk[i]).sum(axis=1, dtype=np.int64)
-                    j = j[9 * far <= n[j] + n[i]]
+                    near = 9 * far <= n[j] + n[i]
+                    j, far = j[near], far[near]
+                    if nearest and len(j) > 1:
+                        order = np.lexsort((far, label[j]))
+                        j = j[order][np.concatenate([[True], np.diff(label[j][order]) != 0])]
                     a.append(np.minimum(ids[j], ids[i]))
                     b.append(np.maximum(ids[j], ids[i]))
         if a:
@@ -308,6 +316,19 @@ def verified(docs: DataFrame, sets: DataFrame, pairs: DataFrame) -> DataFrame:
     return links
 
 
+def _residual_pairs(members: DataFrame, merged: DataFrame, small: DataFrame, nearest: bool) -> DataFrame:
+    """Possible links between different classes in the buckets (key, id) that hold several, compared in blocks."""
+    labelled = written(members.join(merged, "id", "left").select("key", "id", F.coalesce("component", "id").alias("label")))
+    mixed = labelled.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("members")).where("lo <> hi")
+    left = labelled.join(mixed.select("key", "members"), "key").join(small, "id")
+    blocks = F.ceil(F.col("members") / BLOCK).cast("int")
+    left = left.withColumn("q", blocks).withColumn("c", F.pmod(F.xxhash64("id"), F.col("q")).cast("int"))
+    left = left.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("q") - 1)))
+    left = left.withColumn("bucket", F.xxhash64("key", F.least("c", "o"), F.greatest("c", "o")))
+    left = left.select("bucket", "id", "label", "n", *(f"s{i}" for i in range(LANES))).repartition("bucket").sortWithinPartitions("bucket")
+    return left.mapInArrow(partial(cross_class_pairs, nearest=nearest), "a long, b long").distinct()
+
+
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id, class_id and n_links.
 
@@ -336,18 +357,10 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     links = verified(docs, sets, pairs.where(_POSSIBLE.format(_distance("x", "y"))).select("a", "b"))
     merged = written(components(links))
 
-    labelled = buckets.select("key", F.col("member").alias("id")).join(merged, "id", "left").withColumn("label", F.coalesce("component", "id")).drop("component")
-    labelled = written(labelled)
-    mixed = labelled.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("members")).where("lo <> hi")
-    left = labelled.join(mixed.select("key", "members"), "key").join(small, "id")
-    blocks = F.ceil(F.col("members") / BLOCK).cast("int")
-    left = left.withColumn("q", blocks).withColumn("c", F.pmod(F.xxhash64("id"), F.col("q")).cast("int"))
-    left = left.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("q") - 1)))
-    left = left.withColumn("bucket", F.xxhash64("key", F.least("c", "o"), F.greatest("c", "o")))
-    left = left.select("bucket", "id", "label", "n", *lanes).repartition("bucket").sortWithinPartitions("bucket")
-    more = left.mapInArrow(cross_class_pairs, "a long, b long").distinct()
-    links = links.union(verified(docs, sets, more))
-    merged = components(links)
+    members = buckets.select("key", F.col("member").alias("id"))
+    for nearest in (True, False):  # most classes that belong together meet in their nearest pairs; then all other pairs follow
+        links = written(links.union(verified(docs, sets, _residual_pairs(members, merged, small, nearest))))
+        merged = written(components(links))
 
     count = links.select(F.col("a").alias("id")).union(links.select("b")).groupBy("id").agg(F.count("*").alias("n_links"))
     done = classes.select("n", "h1", "h2", "id").join(merged, "id", "left").join(count, "id", "left")
@@ -359,8 +372,8 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 def near_duplicate_filter(docs: DataFrame) -> DataFrame:
     """The rows of `docs` without near duplicates: of each group the smallest doc_id stays, all columns kept.
 
-    Documents without words are in no group and all stay; of rows that repeat a
-    doc_id within one group all but one go.
+    Documents without words are in no group and all stay, and so do all rows that
+    repeat the doc_id that stays.
     """
     marks = jaccard_components(docs).select(F.col("doc_id").alias("_id"), "component_id", "n_shingles")
     drop = marks.where("_id <> component_id").select("_id").distinct()
