@@ -137,15 +137,17 @@ def banded(segment: bytes, region: bytes, budget: int, width: int) -> tuple[int,
     """Least edit distance of `segment` to a part of `region`, and that part's end; None beyond the budget.
 
     Row i holds cells whose region position is i .. i + width, the band's diagonals.
+    Bytes that match nothing go before the region: taking one of them for a byte of
+    the segment is dropping that byte, so the band also holds the region's edge.
     """
     far = budget + 1
-    text, size = np.frombuffer(region, np.uint8), len(region)
-    span = np.arange(width + 1)
-    row = np.zeros(width + 1, np.int64)  # the segment may begin anywhere in the band
+    text, size = np.frombuffer(b"\0" * budget + region, np.uint8), budget + len(region)
+    span = np.arange(width + budget + 1)
+    row = np.zeros(len(span), np.int64)  # the segment may begin anywhere in the band
     for i, c in enumerate(segment):
         at = span + i  # cell k of the next row ends at region position i + 1 + k
         ok = at < size
-        same = np.full(width + 1, far, np.int64)
+        same = np.full(len(span), far, np.int64)
         same[ok] = row[ok] + (text[at[ok]] != c)
         skip = np.concatenate([row[1:], [far]]) + 1
         new = np.minimum(same, skip)
@@ -154,7 +156,7 @@ def banded(segment: bytes, region: bytes, budget: int, width: int) -> tuple[int,
         if row.min() > budget:
             return None
     end = int(row.argmin())
-    return (int(row[end]), min(size, len(segment) + end)) if row[end] <= budget else None
+    return (int(row[end]), max(0, min(size, len(segment) + end) - budget)) if row[end] <= budget else None
 
 
 RESULT = "doc_id long, item_id long, segment_at int, start int, stop int, edits int"
