@@ -33,9 +33,9 @@ COUNTS = np.array([1, 0, 60, 30, 20, 15, 12, 10, 8, 7, 6, 5, 4, 3, 2, 1])
 BITS = np.array([0, 0, 1, 2, 3, 4, 5, 6, 7, 8, 10, 12, 15, 20, 30, 60])
 #: Values of a block.
 BLOCK = 128
-#: Distinct words whose ids a task keeps; beyond it starts anew.
-CACHE_WORDS = 300_000
-BATCH_BYTES = 4 << 20
+#: Distinct words whose ids a Python worker keeps (about 40 bytes each); beyond it starts anew.
+CACHE_WORDS = 1_200_000
+BATCH_BYTES = 3 << 20
 _U = np.uint64
 _SELECTOR = np.zeros(61, np.uint8)
 _SELECTOR[COUNTS[2:]] = np.arange(2, 16)
@@ -173,21 +173,30 @@ class WordEncoder:
             count = np.array([len(x) for x in found], np.int64)
             at = len(self.ids) + np.cumsum(count) - count
             self.ids = np.concatenate([self.ids, *[np.array(x, np.uint32) for x in found]]) if len(found) < 64 else np.concatenate([self.ids, np.fromiter((i for x in found for i in x), np.uint32, int(count.sum()))])
-            order = np.argsort(np.concatenate([self.known, h[new]]), kind="stable")
-            self.known = np.concatenate([self.known, h[new]])[order]
-            self.first = np.concatenate([self.first, at])[order]
-            self.count = np.concatenate([self.count, count])[order]
+            to = spot[new]
+            self.known, self.first, self.count = np.insert(self.known, to, h[new]), np.insert(self.first, to, at), np.insert(self.count, to, count)
         spot = np.searchsorted(self.known, h)[which]
         count = self.count[spot]
         total = np.concatenate([[0], np.cumsum(count)])
         return self.ids[tx.ragged(self.first[spot], count)], total[words]
 
 
+_ENCODERS: dict[int, WordEncoder] = {}
+
+
+def encoder_of(tokenizer: bytes) -> WordEncoder:
+    """One encoder, and so one memory of words, for each Python worker and tokenizer."""
+    key = zlib.crc32(tokenizer)
+    if key not in _ENCODERS:
+        _ENCODERS[key] = WordEncoder(tokenizer)
+    return _ENCODERS[key]
+
+
 SEGMENT = "part int, seq int, doc_ids array<long>, counts array<int>, blocks binary, words binary"
 
 
 def _segment_rows(batches: Iterator[pa.RecordBatch], tokenizer: bytes, end_id: int) -> Iterator[pa.RecordBatch]:
-    encoder, part, seq = WordEncoder(tokenizer), TaskContext.get().partitionId(), 0
+    encoder, part, seq = encoder_of(tokenizer), TaskContext.get().partitionId(), 0
     for whole in batches:
         for batch in tx.slices(whole, "text", BATCH_BYTES):
             ids, at = encoder(*tx.utf8(batch.column(1)))
