@@ -30,7 +30,7 @@ Q = 8
 SEGMENT, ERROR = 96, 0.08
 #: Items with fewer bytes than this after normalising are too short to tell from chance and are not searched for.
 SHORTEST = 32
-#: Segments whose q-grams one pass holds in memory (about 10 MB); more take more passes.
+#: Segments whose q-grams one pass holds in memory (about 40 MB); more take more passes. Below 2^18, as cell numbers hold them.
 PASS_SEGMENTS = 20_000
 _BITS = 22
 _MULT = np.uint64(0x9E3779B97F4A7C15)
@@ -39,17 +39,23 @@ _KEEP = np.zeros(256, bool)
 _KEEP[ord("a") : ord("z") + 1] = _KEEP[ord("0") : ord("9") + 1] = _KEEP[128:] = True
 
 
-def folded(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+def folded(column: pa.Array | list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     """Normalised bytes of all texts, each framed by single spaces, and offsets."""
-    raw = [(" " + (t or "").lower() + " ").encode("utf-8", "replace") for t in texts]
-    offs = np.concatenate([[0], np.cumsum([len(r) for r in raw])]).astype(np.int64)
-    buf = np.frombuffer(b"".join(raw), np.uint8)
-    keep = _KEEP[buf]
-    buf = np.where(keep, buf, np.uint8(32))
-    before = np.concatenate([[False], ~keep[:-1]])
-    before[offs[:-1]] = False
-    stay = keep | ~before  # of a run of other bytes only the first stays, as a space
-    return buf[stay], np.concatenate([[0], np.cumsum(stay)])[offs]
+    raw, at = tx.utf8(column if isinstance(column, pa.Array) else pa.array(column, pa.string()))
+    data, cut = raw.tobytes(), at.tolist()
+    pieces = (data[i:j] for i, j in zip(cut[:-1], cut[1:], strict=True))
+    framed = [b" " + (p.lower() if p.isascii() else p.decode("utf-8", "replace").lower().encode()) + b" " for p in pieces]
+    offs = np.concatenate([[0], np.cumsum([len(p) for p in framed])]).astype(np.int64)
+    buf = np.frombuffer(b"".join(framed), np.uint8)
+    buf = _FOLD[buf]
+    stay = np.empty(len(buf), bool)  # of a run of other bytes only the first stays, as a space
+    if len(buf):
+        space = buf == 32
+        stay[0] = True
+        np.logical_or(~space[1:], ~space[:-1], out=stay[1:])
+        stay[offs[:-1]] = True
+    sizes = np.add.reduceat(stay, offs[:-1], dtype=np.int64) if len(offs) > 1 else np.zeros(0, np.int64)
+    return buf[stay], np.concatenate([[0], np.cumsum(sizes)])
 
 
 def grams(buf: np.ndarray) -> np.ndarray:
@@ -59,6 +65,9 @@ def grams(buf: np.ndarray) -> np.ndarray:
     return np.ndarray(len(buf) - Q + 1, np.uint64, buffer=np.ascontiguousarray(buf), strides=(1,))
 
 
+_FOLD = np.where(_KEEP, np.arange(256), 32).astype(np.uint8)
+
+
 class Index:
     """The q-grams of a bounded number of segments."""
 
@@ -110,27 +119,18 @@ class Index:
         seg = self.seg[post]
         diagonal = np.repeat(at - offs[text], self.count[slot]) - self.pos[post] + self.reach
         text = np.repeat(text, self.count[slot])
-        width = self.budget[seg] + 1
-        band = diagonal // width
-        key = (text << np.int64(40)) | seg
-        runs = []
-        for low in (band, band - 1):  # every diagonal lies in two overlapping bands
-            order = np.lexsort((low, key))
-            k, b = key[order], low[order]
-            cut = np.flatnonzero(np.concatenate([[True], (k[1:] != k[:-1]) | (b[1:] != b[:-1])])) if len(k) else np.zeros(0, np.int64)
-            runs.append((k[cut], b[cut], np.diff(np.concatenate([cut, [len(k)]]))))
-        key = np.concatenate([r[0] for r in runs])
-        low = np.concatenate([r[1] for r in runs])
-        hits = np.concatenate([r[2] for r in runs])
-        order = np.lexsort((low, key))
-        key, low, hits = key[order], low[order], hits[order]
-        if not len(key):
-            return none
-        cut = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (low[1:] != low[:-1])]))
-        hits, key, low = np.add.reduceat(hits, cut), key[cut], low[cut]
-        seg = key & ((1 << 40) - 1)
-        ok = hits >= self.need[seg]
-        return key[ok] >> 40, seg[ok], low[ok] * (self.budget[seg[ok]] + 1) - self.reach
+        # One cell for each run of e + 1 diagonals; a band is a cell and the next.
+        key = (text << np.int64(42)) | (seg << np.int64(24)) | (diagonal // (self.budget[seg] + 1))
+        key.sort()
+        cut = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
+        cell, hits = key[cut], np.diff(np.concatenate([cut, [len(key)]]))
+        total = hits.copy()
+        beside = np.flatnonzero(cell[1:] == cell[:-1] + 1)
+        total[beside] += hits[beside + 1]
+        seg = (cell >> 24) & ((1 << 18) - 1)
+        ok = total >= self.need[seg]
+        cell, seg = cell[ok], seg[ok]
+        return cell >> 42, seg, (cell & ((1 << 24) - 1)) * (self.budget[seg] + 1) - self.reach
 
 
 def banded(segment: bytes, region: bytes, budget: int, width: int) -> tuple[int, int] | None:
@@ -166,7 +166,7 @@ def _scan(batches: Iterator[pa.RecordBatch], items: list[tuple[int, bytes]], seg
     index = Index(items, segment, error)
     for whole in batches:
         for batch in tx.slices(whole, "text"):
-            buf, offs = folded(batch.column(1).to_pylist())
+            buf, offs = folded(batch.column(1))
             ids = batch.column(0).to_pylist()
             found: dict[tuple[int, int], tuple] = {}
             for t, s, low in zip(*(x.tolist() for x in index.bands(buf, offs)), strict=True):
