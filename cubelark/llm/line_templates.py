@@ -30,18 +30,24 @@ MIN_CONSTANTS, MIN_SHARE = 4, 0.5
 FIELD = "<*>"
 
 
-def _normal(line: Column) -> Column:
-    """Single spaces between tokens; tokens with a digit become variable fields."""
-    flat = F.btrim(F.regexp_replace(line, r"[\x20\x09\x0B-\x0D]+", " "), F.lit(" "))
-    return F.when(flat.rlike("[0-9]"), F.regexp_replace(flat, r"[^ ]*[0-9][^ ]*", FIELD)).otherwise(flat)
+def _flat(line: Column) -> Column:
+    """Single spaces between tokens."""
+    return F.btrim(F.regexp_replace(line, r"[\x20\x09\x0B-\x0D]+", " "), F.lit(" "))
 
 
 def _lines(docs: DataFrame) -> DataFrame:
-    """(doc, doc_id, line_no, line, leaf) of every line with enough tokens; `doc` names a document's content."""
+    """(doc, doc_id, line_no, line, leaf) of every line with enough tokens; `doc` names a document's content.
+
+    Tokens with a digit are variable fields. explode(array(x)) keeps x, a pattern
+    over all the text, from being computed again in the filters that follow.
+    """
     own = docs.select(F.xxhash64("doc_id", "text").alias("doc"), F.col("doc_id").cast("long").alias("doc_id"), F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("line_no", "raw"))
-    own = own.select("doc", "doc_id", "line_no", _normal(F.col("raw")).alias("line"))
-    count = F.length("line") - F.length(F.replace("line", F.lit(" "), F.lit(""))) + 1
-    return own.where(count >= MIN_CONSTANTS).withColumn("leaf", F.xxhash64(count, F.substring_index("line", " ", LEADING)))
+    own = own.select("doc", "doc_id", "line_no", F.explode(F.array(_flat(F.col("raw")))).alias("flat"))
+    count = F.length("flat") - F.length(F.replace("flat", F.lit(" "), F.lit(""))) + 1
+    own = own.where(count >= MIN_CONSTANTS)
+    line = F.when(F.col("flat").rlike("[0-9]"), F.regexp_replace("flat", r"[^ ]*[0-9][^ ]*", FIELD)).otherwise(F.col("flat"))
+    own = own.select("doc", "doc_id", "line_no", line.alias("line"), count.alias("count"))
+    return own.select("doc", "doc_id", "line_no", "line", F.xxhash64("count", F.substring_index("line", " ", LEADING)).alias("leaf"))
 
 
 def dropped_lines(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
