@@ -6,7 +6,10 @@ A window that holds 80 % of a template has at least a Jaccard similarity of
 0.8 / 2.2 = 0.36 with it; with 24 bands of one MinHash the chance that none
 collides is (1 - 0.36) ** 24, under 3 in 100 000. Windows that collide with a
 template are verified by the exact share of its shingles that they hold. A window
-without any shingle of any template cannot pass and isn't signed.
+without any shingle of a template of its size cannot pass and isn't signed.
+
+A template of fewer than five words is one shingle, its whole word sequence, and
+is looked for among the texts' sequences of that length.
 """
 
 from __future__ import annotations
@@ -21,14 +24,37 @@ SHINGLE, CONTAINMENT, BANDS = 5, 0.8, 24
 
 #: Texts of public licences and their usual notices.
 TEMPLATES = {
+    "agpl-3.0-line": "This work is licensed under the GNU Affero General Public License, version 3.",
+    "agpl-3.0-notice": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    "all-rights-reserved": "All rights reserved.",
     "apache-2.0-line": "Licensed under the Apache License, Version 2.0.",
     "apache-2.0-notice": "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0",
     "bsd-2-clause": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:",
+    "bsl-1.0": "Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license (the \"Software\") to use, reproduce, display, distribute, execute, and transmit the Software",
+    "bsl-1.0-line": "Distributed under the Boost Software License, Version 1.0.",
+    "cc-by-4.0-line": "Licensed under CC BY 4.0.",
+    "cc-by-4.0-notice": "This work is licensed under a Creative Commons Attribution 4.0 International License.",
     "cc-by-nc-4.0-line": "Licensed under CC BY-NC 4.0.",
+    "cc-by-nc-4.0-notice": "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.",
+    "cc-by-nc-nd-4.0-line": "Licensed under CC BY-NC-ND 4.0.",
+    "cc-by-nc-sa-4.0-line": "Licensed under CC BY-NC-SA 4.0.",
+    "cc-by-nd-4.0-line": "Licensed under CC BY-ND 4.0.",
+    "cc-by-sa-4.0-line": "Licensed under CC BY-SA 4.0.",
+    "cc-by-sa-4.0-notice": "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.",
+    "cc0-1.0-line": "Licensed under CC0 1.0.",
+    "cc0-1.0-notice": "To the extent possible under law, the author has dedicated all copyright and related and neighboring rights to this software to the public domain worldwide. This software is distributed without any warranty.",
+    "epl-2.0-notice": "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at",
+    "gpl-2.0-notice": "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version.",
     "gpl-3.0-line": "This work is licensed under the GNU General Public License, version 3.",
     "gpl-3.0-notice": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    "isc-permission": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
+    "lgpl-2.1-notice": "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version.",
+    "lgpl-3.0-line": "This work is licensed under the GNU Lesser General Public License, version 3.",
     "mit-line": "Released under the MIT License.",
     "mit-permission": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction",
+    "mpl-2.0-notice": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
+    "unlicense": "This is free and unencumbered software released into the public domain.",
+    "zlib": "Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions",
 }
 #: Fixed value: what separates words.
 SEPARATOR = r"[^\p{L}\p{N}]+"
@@ -40,13 +66,19 @@ def _words(text: Column) -> Column:
     return F.transform(F.split(flat, " "), lambda w: F.xxhash64(w))
 
 
-def _with_shingles(df: DataFrame) -> DataFrame:
-    """Replace the column `text` by `sh`."""
+def _sequences(length: int) -> str:
+    """Hashes of all runs of that many words of `_w`, in order."""
+    parts = ", ".join(f"_w[i + {k}]" for k in range(length))
+    return f"case when size(_w) >= {length} then transform(sequence(0, size(_w) - {length}), i -> xxhash64({parts})) else cast(array() as array<bigint>) end"
+
+
+def _with_shingles(df: DataFrame, short: list[int]) -> DataFrame:
+    """Replace the column `text` by `sh`, and by `sh1` and so on for shorter sequences."""
     # explode(array(x)) keeps x from being computed again inside each later expression.
     hashed = df.withColumn("_w", F.explode(F.array(_words(F.col("text"))))).drop("text")
-    parts = ", ".join(f"_w[i + {k}]" for k in range(SHINGLE))
-    made = F.expr(f"case when size(_w) >= {SHINGLE} then transform(sequence(0, size(_w) - {SHINGLE}), i -> xxhash64({parts})) else cast(array() as array<bigint>) end")
-    return hashed.withColumn("sh", F.explode(F.array(made))).drop("_w")
+    for length in short:
+        hashed = hashed.withColumn(f"sh{length}", F.expr(_sequences(length)))
+    return hashed.withColumn("sh", F.explode(F.array(F.expr(_sequences(SHINGLE))))).drop("_w")
 
 
 def _bands(sh: Column) -> Column:
@@ -59,33 +91,47 @@ def _bands(sh: Column) -> Column:
 
 
 def templates(spark: SparkSession, texts: dict[str, str]) -> DataFrame:
-    """license_id, n (shingles in order), tsh (distinct shingles) of a library given by the caller."""
+    """license_id, n (shingles in order), tsh (distinct shingles) of a library given by the caller.
+
+    A template of fewer than SHINGLE words has one shingle, and n is the negative number of its words.
+    """
     rows = spark.createDataFrame(sorted(texts.items()), "license_id string, text string")
-    out = _with_shingles(rows).where("size(sh) > 0")
-    return out.select("license_id", F.size("sh").alias("n"), F.array_distinct("sh").alias("tsh"))
+    rows = rows.select("license_id", _words(F.col("text")).alias("_w"), F.regexp_replace("text", SEPARATOR, "").alias("letters")).where("letters <> ''")
+    whole = " ".join(f"when {k} then array(xxhash64({', '.join(f'_w[{i}]' for i in range(k))}))" for k in range(1, SHINGLE))
+    out = rows.select("license_id", "_w", F.expr(f"case size(_w) {whole} else {_sequences(SHINGLE)} end").alias("sh"))
+    return out.select("license_id", F.expr(f"if(size(_w) < {SHINGLE}, -size(_w), size(sh))").alias("n"), F.array_distinct("sh").alias("tsh"))
 
 
 def scan(docs: DataFrame, texts: dict[str, str] = TEMPLATES) -> DataFrame:
     """One row per document and licence found: doc_id, license_id, containment, start.
 
     containment is the largest share of the template's shingles in one window;
-    start is the first word of the first window that holds it. Null, empty and
-    short texts have no row. Rows that repeat a doc_id count as one document. The
+    start is the first word of the first window that holds it. Null and empty texts
+    have no row. Rows that repeat a doc_id count as one document. The
     library is part of the call, a few hundred templates at most, so it is
     broadcast; documents are not shuffled before they match.
     """
     library = templates(docs.sparkSession, texts)
     held = library.collect()  # the library's size is the caller's
-    vocabulary = sorted({h for row in held for h in row["tsh"]})
-    sizes = sorted({row["n"] for row in held})
-    if not vocabulary:
+    if not held:
         return docs.sparkSession.createDataFrame([], "doc_id long, license_id string, containment double, start long")
-    among = ", ".join(f"bigint('{h}')" for h in vocabulary)
-    own = _with_shingles(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text")))
-    own = own.where(F.expr(f"exists(sh, h -> h in ({among}))"))
-    own = own.withColumn("hits", F.expr(f"filter(sequence(0, size(sh) - 1), i -> sh[i] in ({among}))"))
+    among = {n: ", ".join(f"bigint('{h}')" for h in sorted({h for row in held if row["n"] == n for h in row["tsh"]})) for n in sorted({row["n"] for row in held})}
+    short = {-n: among[n] for n in among if n < 0}
+    own = _with_shingles(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text")), list(short))
+    for length, hashes in short.items():  # the first place of each sequence is enough
+        places = f"filter(transform(sh{length}, (h, i) -> struct(h, i)), x -> x.h in ({hashes}))"
+        first = f"transform(array_distinct({places}.h), h -> struct({-length} as n, greatest(array_position(sh{length}, h) - 2, 0) as start, array(h) as win))"
+        own = own.withColumn(f"sh{length}", F.expr(f"if(exists(sh{length}, h -> h in ({hashes})), {first}, null)"))
+    long = {n: among[n] for n in among if n > 0}
+    every = ", ".join(long.values()) or "null"
+    own = own.where(" or ".join([f"exists(sh, h -> h in ({every}))", *(f"sh{x} is not null" for x in short)]))
+    own = own.withColumn("hits", F.expr(f"filter(sequence(0, greatest(size(sh) - 1, 0)), i -> get(sh, i) in ({every}))"))
     # Windows with a template's shingle, cut before rows multiply, so that no row repeats a whole text.
-    cuts = [f"transform(filter(array_distinct(flatten(transform(hits, p -> array(p div {n} * {n}, p div {n} * {n} - {n})))), s -> s >= 0), s -> struct({n} as n, cast(s as int) as start, slice(sh, cast(s as int) + 1, 2 * {n}) as win))" for n in sizes]
+    cuts = [
+        f"transform(filter(array_distinct(flatten(transform(filter(hits, p -> sh[p] in ({hashes})), p -> array(p div {n} * {n}, p div {n} * {n} - {n})))), s -> s >= 0), s -> struct({n} as n, s as start, slice(sh, cast(s as int) + 1, 2 * {n}) as win))"
+        for n, hashes in long.items()
+    ]
+    cuts += [f"coalesce(sh{x}, array())" for x in short]
     windows = own.select("doc_id", F.explode(F.expr(f"flatten(array({', '.join(cuts)}))")).alias("x")).select("doc_id", "x.n", "x.start", "x.win")
     signed = windows.select("doc_id", "n", "start", "win", F.posexplode(_bands(F.col("win"))).alias("band", "value"))
     targets = library.select("license_id", F.col("n").alias("tn"), "tsh", F.posexplode(_bands(F.col("tsh"))).alias("tband", "tvalue"))

@@ -328,3 +328,13 @@ def test_license_scan(spark):
     assert all(i < len(keys) or i == len(texts) for i, _ in found)
     assert miss_probability() < 3e-5
     assert scan(frame(spark, [])).count() == 0 and scan(frame(spark, ["a b c d e f"]), {}).count() == 0
+
+
+def test_license_scan_finds_short_templates(spark):
+    rng = random.Random(18)
+    library = TEMPLATES | {"two": "Zed licence", "one": "qqlicence", "none": " - "}
+    texts = ["ALL rights, reserved", f"{words(rng, 9)} all rights reserved {words(rng, 70)} All rights reserved.", f"{words(rng, 50)} zed licence", "qqlicence", "all rights are reserved", "rights reserved all", "", None, TEMPLATES["mpl-2.0-notice"]]
+    got = {(r["doc_id"], r["license_id"]): (r["containment"], r["start"]) for r in scan(frame(spark, texts, EXTRA), library).collect()}
+    assert got == {(0, "all-rights-reserved"): (1.0, 0), (1, "all-rights-reserved"): (1.0, 8), (2, "two"): (1.0, 49), (3, "one"): (1.0, 0), (8, "mpl-2.0-notice"): (1.0, 0)}
+    only = scan(frame(spark, texts), {"all-rights-reserved": "All rights reserved."}).collect()
+    assert {r["doc_id"] for r in only} == {0, 1}
