@@ -1,9 +1,12 @@
 """Line dedup by a log-template tree; DataFrame operations only.
 
 The tree has a fixed depth: a line's token count, then its leading tokens. Tokens
-with a digit are variable fields from the start. In a leaf, a token is constant at
-its position when enough documents have it there, and a variable field otherwise;
-what remains constant is the line's template. A template with enough constants
+with a digit are variable fields from the start. In a leaf, a token's support is
+the number of documents that have it at its position. A template has at least
+MIN_CONSTANTS constants and MIN_SHARE of its tokens, so that many of a line's best
+supported tokens are constant, and so is every token with at least CONSTANT_SHARE of
+the least support among those; others are variable fields, however many documents
+the leaf has. What remains constant is the line's template. A template with enough constants
 that occurs in enough documents recurs: its first line (smallest doc_id, then line
 number) stays and every other one is dropped. The first stays because dropping it
 too would erase all of a group of copied documents.
@@ -22,10 +25,12 @@ from .store import durable
 
 #: Leading tokens that lead to a leaf.
 LEADING = 3
-#: Documents in which a template recurs, and in which a token is constant.
+#: Documents in which a template recurs, and that a constant token has at least.
 MIN_DOCS = 5
 #: Constants that a recurring template has at least, and their least share of its tokens.
 MIN_CONSTANTS, MIN_SHARE = 4, 0.5
+#: Support of a constant, as a share of the least support among a line's MIN_CONSTANTS (or MIN_SHARE) best supported tokens.
+CONSTANT_SHARE = 0.5
 #: Fixed value: what stands for a variable field.
 FIELD = "<*>"
 
@@ -65,10 +70,12 @@ def dropped_lines(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
     tokens = once.select("line_id", "leaf", "docs", F.posexplode(F.split("line", " ")).alias("pos", "token"))
     tokens = durable(tokens.select("line_id", "docs", "pos", "token", F.xxhash64("leaf", "pos", "token").alias("slot")))
     constant = tokens.where(F.col("token") != FIELD).groupBy("slot").agg(F.sum("docs").alias("support")).where(F.col("support") >= min_docs)
-    marked = tokens.join(constant, "slot", "left").select("line_id", "pos", F.when(F.col("support").isNotNull(), F.col("token")).alias("token"))
-    shapes = marked.groupBy("line_id").agg(F.count("*").alias("size"), F.count("token").alias("constants"), F.array_sort(F.collect_list(F.struct("pos", F.coalesce("token", F.lit(FIELD)).alias("token")))).alias("parts"))
-    shapes = shapes.where((F.col("constants") >= MIN_CONSTANTS) & (F.col("constants") >= MIN_SHARE * F.col("size")))
-    shapes = shapes.select("line_id", F.xxhash64("parts.token").alias("template"))
+    marked = tokens.join(constant, "slot", "left").select("line_id", "pos", "token", "support")
+    shapes = marked.groupBy("line_id").agg(F.sort_array(F.collect_list("support"), asc=False).alias("best"), F.array_sort(F.collect_list(F.struct("pos", "token", "support"))).alias("parts"))
+    shapes = shapes.withColumn("least", F.greatest(F.lit(MIN_CONSTANTS), F.ceil(MIN_SHARE * F.size("parts"))).cast("int")).where(F.size("best") >= F.col("least"))
+    floor = CONSTANT_SHARE * F.element_at("best", F.col("least"))
+    shape = F.transform("parts", lambda p: F.when(p["support"] >= floor, p["token"]).otherwise(F.lit(FIELD)))
+    shapes = shapes.select("line_id", F.xxhash64(shape).alias("template"))
 
     fit = durable(some.select("line_id", "doc", "doc_id", "line_no").join(shapes, "line_id").drop("line_id"))
     heads = fit.groupBy("template", "doc").agg(F.min(F.struct("doc_id", "doc", "line_no")).alias("first")).groupBy("template")

@@ -134,6 +134,16 @@ def test_line_templates_keep_the_first_and_generalise_fields(spark):
     assert drop_recurring_lines(frame(spark, [])).count() == 0
 
 
+def test_line_templates_find_fields_with_frequent_values(spark):
+    rng = random.Random(12)
+    names, cities = ([f"{kind}{a}{b}" for a in "abcdefghij" for b in "klmnopqrst"] for kind in ("n", "c"))
+    for n in (40, 2000):
+        texts = [f"Posted by user {rng.choice(names)} from {rng.choice(cities)} on our board" for _ in range(n)]
+        texts += [f"Posted by user {names[i]} has seen the other {cities[i]} twice" for i in range(3)]  # same leaf, too few documents
+        rows = {r["doc_id"]: r["_dropped"] for r in drop_recurring_lines(frame(spark, texts)).collect()}
+        assert rows == {i: int(0 < i < n) for i in range(n + 3)}
+
+
 def edit(text, rng, n):
     t = list(text)
     for _ in range(n):
