@@ -11,8 +11,11 @@ that occurs in enough documents recurs: its first line (smallest doc_id, then li
 number) stays and every other one is dropped. The first stays because dropping it
 too would erase all of a group of copied documents.
 
-Only lines whose leaf recurs are shuffled. Leaves are found from hashes; a bounded
-Bloom bitmap of them lets the scan pass over all other lines.
+A line that stands unchanged in EXACT_DOCS documents recurs as well, with all of its
+tokens as they are; lines too short for a template recur in no other way.
+
+Only lines whose leaf or whole line recurs are shuffled. Both are found from hashes;
+a bounded Bloom bitmap of them lets the scan pass over all other lines.
 """
 
 from __future__ import annotations
@@ -27,6 +30,8 @@ from .store import durable
 LEADING = 3
 #: Documents in which a template recurs, and that a constant token has at least.
 MIN_DOCS = 5
+#: Documents in which an unchanged line recurs.
+EXACT_DOCS = 2
 #: Constants that a recurring template has at least, and their least share of its tokens.
 MIN_CONSTANTS, MIN_SHARE = 4, 0.5
 #: Support of a constant, as a share of the least support among a line's MIN_CONSTANTS (or MIN_SHARE) best supported tokens.
@@ -40,30 +45,36 @@ def _flat(line: Column) -> Column:
     return F.btrim(F.regexp_replace(line, r"[\x20\x09\x0B-\x0D]+", " "), F.lit(" "))
 
 
-def _lines(docs: DataFrame) -> DataFrame:
-    """(doc, doc_id, line_no, line, leaf) of every line with enough tokens; `doc` names a document's content.
+def _lines(docs: DataFrame, min_docs: int, shortest: int) -> DataFrame:
+    """(doc, doc_id, line_no, key, line, need): each line's leaf, and the line itself, as keys that recur in `need` documents.
 
-    Tokens with a digit are variable fields. explode(array(x)) keeps x, a pattern
+    `doc` names a document's content. Tokens with a digit are variable fields in
+    `line`, which is null beside the key of the line itself. Blank lines, lines of fewer than
+    `shortest` tokens and leaves of fewer than MIN_CONSTANTS have no row. explode(array(x)) keeps x, a pattern
     over all the text, from being computed again in the filters that follow.
     """
     own = docs.select(F.xxhash64("doc_id", "text").alias("doc"), F.col("doc_id").cast("long").alias("doc_id"), F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("line_no", "raw"))
     own = own.select("doc", "doc_id", "line_no", F.explode(F.array(_flat(F.col("raw")))).alias("flat"))
     count = F.length("flat") - F.length(F.replace("flat", F.lit(" "), F.lit(""))) + 1
-    own = own.where(count >= MIN_CONSTANTS)
+    own = own.where((F.col("flat") != "") & (count >= shortest))
     line = F.when(F.col("flat").rlike("[0-9]"), F.regexp_replace("flat", r"[^ ]*[0-9][^ ]*", FIELD)).otherwise(F.col("flat"))
-    own = own.select("doc", "doc_id", "line_no", line.alias("line"), count.alias("count"))
-    return own.select("doc", "doc_id", "line_no", "line", F.xxhash64("count", F.substring_index("line", " ", LEADING)).alias("leaf"))
+    own = own.select("doc", "doc_id", "line_no", line.alias("line"), count.alias("count"), F.xxhash64(F.lit("line"), "flat").alias("whole"))
+    leaf = F.struct(F.xxhash64("count", F.substring_index("line", " ", LEADING)).alias("key"), F.col("line").alias("line"), F.lit(min_docs).alias("need"))
+    whole = F.struct(F.col("whole").alias("key"), F.lit(None).cast("string").alias("line"), F.lit(EXACT_DOCS).alias("need"))
+    keys = F.when(F.col("count") >= MIN_CONSTANTS, F.array(leaf, whole)).otherwise(F.array(whole))
+    return own.select("doc", "doc_id", "line_no", F.explode(keys).alias("k")).select("doc", "doc_id", "line_no", "k.*")
 
 
-def dropped_lines(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
+def dropped_lines(docs: DataFrame, min_docs: int = MIN_DOCS, shortest: int = MIN_CONSTANTS) -> DataFrame:
     """(doc, line_no) of the lines to drop."""
-    lines = _lines(docs)
-    pairs = lines.select("leaf", "doc").distinct()
-    leaves = durable(pairs.groupBy("leaf").count().where(F.col("count") >= min_docs).select("leaf"))
-    bits = bits_for(leaves.count())
-    at = leaves.select(F.explode(F.array(*positions(F.col("leaf"), bits))).alias("p"))
-    some = keep_possible(lines, bitmap(at, "p"), F.col("leaf"), bits).where("_maybe").drop("_maybe")
-    some = durable(some.join(leaves, "leaf", "left_semi").withColumn("line_id", F.xxhash64("leaf", "line")))
+    lines = _lines(docs, min_docs, shortest)
+    pairs = lines.select("key", "need", "doc").distinct()
+    keys = durable(pairs.groupBy("key", "need").count().where(F.col("count") >= F.col("need")).select("key"))
+    bits = bits_for(keys.count())
+    at = keys.select(F.explode(F.array(*positions(F.col("key"), bits))).alias("p"))
+    held = keep_possible(lines, bitmap(at, "p"), F.col("key"), bits).where("_maybe").drop("_maybe")
+    held = durable(held.join(keys, "key", "left_semi"))
+    some = held.where("line is not null").withColumnRenamed("key", "leaf").withColumn("line_id", F.xxhash64("leaf", "line"))
 
     # Tokens' support within their leaf, from each distinct line once with its number of documents.
     once = some.select("line_id", "leaf", "line", "doc").distinct().groupBy("line_id", "leaf", "line").agg(F.count("*").alias("docs"))
@@ -77,22 +88,24 @@ def dropped_lines(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
     shape = F.transform("parts", lambda p: F.when(p["support"] >= floor, p["token"]).otherwise(F.lit(FIELD)))
     shapes = shapes.select("line_id", F.xxhash64(shape).alias("template"))
 
-    fit = durable(some.select("line_id", "doc", "doc_id", "line_no").join(shapes, "line_id").drop("line_id"))
-    heads = fit.groupBy("template", "doc").agg(F.min(F.struct("doc_id", "doc", "line_no")).alias("first")).groupBy("template")
-    heads = heads.agg(F.count("*").alias("docs"), F.min("first").alias("first")).where(F.col("docs") >= min_docs)
+    place = ["need", "doc", "doc_id", "line_no"]
+    fit = some.select("line_id", *place).join(shapes, "line_id").select("template", *place)
+    fit = durable(fit.union(held.where("line is null").select("key", *place)))
+    heads = fit.groupBy("template", "need", "doc").agg(F.min(F.struct("doc_id", "doc", "line_no")).alias("first")).groupBy("template", "need")
+    heads = heads.agg(F.count("*").alias("docs"), F.min("first").alias("first")).where(F.col("docs") >= F.col("need")).drop("need")
     gone = fit.join(heads, "template").where((F.col("doc") != F.col("first.doc")) | (F.col("line_no") != F.col("first.line_no")))
     return gone.select("doc", "line_no").distinct()
 
 
-def drop_recurring_lines(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
+def drop_recurring_lines(docs: DataFrame, min_docs: int = MIN_DOCS, shortest: int = MIN_CONSTANTS) -> DataFrame:
     """`docs` with its recurring lines taken out of `text`, and _lines and _dropped, their numbers.
 
     All rows and columns stay; a text whose lines all go becomes empty. Null texts
     stay null. Rows that repeat a document (doc_id and text) count as one and are
-    treated alike. Lines of fewer than MIN_CONSTANTS tokens always stay. An empty
-    table gives an empty table.
+    treated alike. Lines of fewer than `shortest` tokens and blank lines always stay.
+    An empty table gives an empty table.
     """
-    gone = dropped_lines(docs, min_docs).groupBy("doc").agg(F.collect_list("line_no").alias("_gone"))
+    gone = dropped_lines(docs, min_docs, shortest).groupBy("doc").agg(F.collect_list("line_no").alias("_gone"))
     lines = F.split(F.coalesce("text", F.lit("")), "\n")
     out = docs.withColumn("_doc", F.xxhash64("doc_id", "text")).join(gone, F.col("_doc") == F.col("doc"), "left")
     kept = F.array_join(F.filter(lines, lambda _, i: ~F.array_contains(F.col("_gone"), i)), "\n")

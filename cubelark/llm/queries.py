@@ -37,7 +37,7 @@ def op1_quality_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_line_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = drop_recurring_lines(_table(spark, sf_dir, "documents"))
+    out = drop_recurring_lines(_table(spark, sf_dir, "documents"), shortest=1)
     text = F.coalesce("text", F.lit(""))
     return out.select("doc_id", F.col("_lines").alias("n_lines"), F.col("_dropped").alias("n_dropped"), F.sha2(text, 256).alias("text_sha256"))
 

@@ -144,6 +144,14 @@ def test_line_templates_find_fields_with_frequent_values(spark):
         assert rows == {i: int(0 < i < n) for i in range(n + 3)}
 
 
+def test_unchanged_lines_recur_in_two_documents_however_short(spark):
+    rng = random.Random(13)
+    own = [words(rng, 12) for _ in range(4)]
+    texts = [f"{own[0]}\nAll rights reserved.\n\na line of several plain words", f"All  rights reserved.\n{own[1]}\n\na line of  several plain words", f"{own[2]}\nVersion 2 released", f"{own[3]}\nVersion 3 released\nonce\nonce"]
+    got = {r["doc_id"]: (r["text"], r["_dropped"]) for r in drop_recurring_lines(frame(spark, texts, EXTRA), shortest=1).collect()}
+    assert got == {0: (texts[0], 0), 1: (f"{own[1]}\n", 2), 2: (texts[2], 0), 3: (texts[3], 0)}
+
+
 def edit(text, rng, n):
     t = list(text)
     for _ in range(n):
