@@ -266,6 +266,17 @@ def cube_merge_delta(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cube.merge_delta(*[cube.all_cuboids(f.where(f"o_year {op} 1998"), _COARSE) for op in ("<", ">=")])
 
 
+@_query(_union_sql(_STORED, "cast(sum(volume) as decimal(38,4)) as sum_volume, cast(cast(sum(volume) as decimal(38,4)) as double) / count(*) as avg_volume"))
+def cube_averages_stored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cube.averages(spark, sf_dir, _STORED)
+
+
+@_query(_union_sql(_STORED, _MEASURES))
+def cube_merge_delta_stored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    f = cube.facts(spark, sf_dir)
+    return cube.merge_delta(*[cube.all_cuboids(f.where(f"o_year {op} 1998"), _STORED) for op in ("<", ">=")])
+
+
 def _walk() -> History:
     """Drill product, drill time, dice 1995 to 1997, drill time, slice a month, drill location, roll product up."""
     h = History()

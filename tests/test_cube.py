@@ -64,3 +64,21 @@ def test_shell(spark, tmp_path):
     shell.execute("quit")
     assert shell.over
     assert len(random_walk(12, 3)) == 12
+
+
+@pytest.mark.parametrize("name", ["cube_averages_stored", "cube_merge_delta_stored"])
+def test_stored_cuboids_match_sql(spark, name):
+    from test_queries import TABLES, duckdb, plain
+
+    from cubelark import registry
+
+    con = duckdb.connect()
+    for t in TABLES:
+        con.execute(f"create view {t} as select * from '{SF}/{t}.parquet'")
+    query, sql = registry.MADE[name]
+    df = query(spark, SF)
+    result = con.execute(sql)
+    at = [[d[0] for d in result.description].index(c) for c in df.columns]
+    got = sorted((tuple(map(plain, r)) for r in df.collect()), key=repr)
+    assert got == sorted((tuple(plain(r[i]) for i in at) for r in result.fetchall()), key=repr)
+    assert {r[df.columns.index("cuboid")] for r in got} == {"__".join(c) or "all" for c in cuboids() if is_stored(c)}
