@@ -19,6 +19,9 @@ compared with one member picked by hash (stars), linked sets are merged, and onl
 members of buckets that still hold several classes are compared further, in
 blocks, across classes. A 512-bit parity sketch (its Hamming distance never
 exceeds the symmetric difference) rules pairs out before the exact comparison.
+
+All links lie inside the components that are then known. For the number of a class's
+links, all pairs of a component's classes are compared exactly, in blocks.
 """
 
 from __future__ import annotations
@@ -41,6 +44,8 @@ from .store import release, written
 LANES = 8
 #: Members of one residual bucket compared in one block.
 BLOCK = 2048
+#: Shingles of about that many in one half of a block whose links are counted.
+BLOCK_TOKENS = 2_000_000
 _U = np.uint64
 
 
@@ -329,12 +334,63 @@ def _residual_pairs(members: DataFrame, merged: DataFrame, small: DataFrame, nea
     return left.mapInArrow(partial(cross_class_pairs, nearest=nearest), "a long, b long").distinct()
 
 
-def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def link_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """From rows sorted by block (component, lo, hi), each member's number of links in it: within a part if lo = hi, else between the two."""
+    held: list[tuple] = []  # rows of the block at hand: at most two parts
+    block: tuple | None = None
+
+    def counted(between: bool) -> pa.RecordBatch:
+        held.sort(key=lambda r: r[1])
+        ids, sizes = np.array([r[0] for r in held], np.int64), np.array([len(r[2]) for r in held], np.int64)
+        part = np.array([r[1] for r in held], np.int64)
+        offs = np.concatenate([[0], np.cumsum(sizes)])
+        words, at = np.unique(np.concatenate([r[2] for r in held]), return_inverse=True)
+        own, n = np.zeros(len(words), np.uint8), np.zeros(len(ids), np.int64)
+        first = int(np.searchsorted(part, part[-1])) if between else 0
+        for i in range(first if between else len(ids) - 1):
+            j = first if between else i + 1
+            if j == len(ids):
+                continue
+            own[at[offs[i] : offs[i + 1]]] = 1
+            common = np.add.reduceat(own[at[offs[j] :]], offs[j:-1] - offs[j], dtype=np.int64)
+            own[at[offs[i] : offs[i + 1]]] = 0
+            linked = 100 * common >= 80 * (sizes[i] + sizes[j:] - common)
+            n[j:] += linked
+            n[i] += int(linked.sum())
+        return pa.RecordBatch.from_arrays([pa.array(ids), pa.array(n)], names=["id", "n"])
+
+    for batch in batches:
+        component, lo, hi, ids, part = (batch.column(c).to_pylist() for c in ("component", "lo", "hi", "id", "c"))
+        for i, of in enumerate(zip(component, lo, hi, strict=True)):
+            if of != block:
+                if len(held) > 1:
+                    yield counted(block[1] != block[2])
+                held, block = [], of
+            held.append((ids[i], part[i], batch.column("tokens")[i].values.to_numpy()))
+    if len(held) > 1:
+        yield counted(block[1] != block[2])
+
+
+def counted_links(docs: DataFrame, merged: DataFrame) -> DataFrame:
+    """(id, n_links): the exact number of links of every class (id, component) that has any."""
+    bits = bits_for(merged.count())
+    at = merged.select(F.explode(F.array(*positions(F.col("id"), bits))).alias("p"))
+    some = keep_possible(docs, bitmap(at, "p"), F.col("doc_id"), bits).where("_maybe").select("doc_id", "text")
+    sets = some.mapInArrow(token_rows, "doc_id long, tokens array<long>")
+    sets = written(sets.join(merged, F.col("doc_id") == F.col("id")).dropDuplicates(["id"]).select("component", "id", "tokens"))
+    parts = sets.groupBy("component").agg(F.ceil(F.greatest(F.count("*") / BLOCK, F.sum(F.size("tokens")) / BLOCK_TOKENS)).cast("int").alias("q"))
+    dealt = sets.join(parts, "component").withColumn("c", F.pmod(F.xxhash64("id"), F.col("q")).cast("int")).withColumn("o", F.explode(F.sequence(F.lit(0), F.col("q") - 1)))
+    dealt = dealt.select("component", F.least("c", "o").alias("lo"), F.greatest("c", "o").alias("hi"), "id", "c", "tokens")
+    dealt = dealt.repartition("component", "lo", "hi").sortWithinPartitions("component", "lo", "hi")
+    return dealt.mapInArrow(link_counts, "id long, n long").groupBy("id").agg(F.sum("n").alias("n_links"))
+
+
+def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", count_links: bool = True) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id, class_id and n_links.
 
-    class_id is the smallest doc_id with the same shingle set; n_links counts the
-    verified links used for the class (a spanning choice of all links, at least
-    enough to connect its component). Null and empty texts have no shingles and
+    class_id is the smallest doc_id with the same shingle set; n_links is the
+    number of other classes that the class links with; without `count_links`, which
+    saves comparing all pairs of a component, there is no such column. Null and empty texts have no shingles and
     link with nothing. Repeated rows stay repeated. An empty table gives no rows.
     Other columns of the input are ignored, whatever their names.
     """
@@ -362,11 +418,14 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         links = written(links.union(verified(docs, sets, _residual_pairs(members, merged, small, nearest))))
         merged = written(components(links))
 
-    count = links.select(F.col("a").alias("id")).union(links.select("b")).groupBy("id").agg(F.count("*").alias("n_links"))
-    done = classes.select("n", "h1", "h2", "id").join(merged, "id", "left").join(count, "id", "left")
-    done = done.select("n", "h1", "h2", F.col("id").alias("class_id"), F.coalesce("component", "id").alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    done = classes.select("n", "h1", "h2", "id").join(merged, "id", "left")
+    if count_links:
+        done = done.join(written(counted_links(docs, merged)), "id", "left")
+    shown = ["n_links"] if count_links else []
+    done = done.select("n", "h1", "h2", F.col("id").alias("class_id"), F.coalesce("component", "id").alias("component_id"), *shown)
     out = sets.select("doc_id", "n", "h1", "h2").join(done, ["n", "h1", "h2"], "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+    shown = [F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links")] if count_links else []
+    return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), F.coalesce("class_id", "doc_id").alias("class_id"), *shown)
 
 
 def near_duplicate_filter(docs: DataFrame) -> DataFrame:
@@ -375,6 +434,6 @@ def near_duplicate_filter(docs: DataFrame) -> DataFrame:
     Documents without words are in no group and all stay, and so do all rows that
     repeat the doc_id that stays.
     """
-    marks = jaccard_components(docs).select(F.col("doc_id").alias("_id"), "component_id", "n_shingles")
+    marks = jaccard_components(docs, count_links=False).select(F.col("doc_id").alias("_id"), "component_id", "n_shingles")
     drop = marks.where("_id <> component_id").select("_id").distinct()
     return docs.join(drop, F.col("doc_id") == F.col("_id"), "left_anti")

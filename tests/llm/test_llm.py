@@ -91,6 +91,26 @@ def test_ngram_join_matches_brute_force(spark, schema):
         assert left == {i for i, (_, c) in want.items() if i == c}
 
 
+@pytest.mark.parametrize("block", [2048, 9])
+def test_ngram_join_counts_every_link(spark, monkeypatch, block):
+    from cubelark.llm import ngram_join
+
+    monkeypatch.setattr(ngram_join, "BLOCK", block)
+    rng = random.Random(14)
+    base = [words(rng, 300).split() for _ in range(2)]
+    texts = list(ODD)
+    for k in range(40):
+        t = list(base[k % 2])
+        for _ in range(k // 8):
+            t[rng.randrange(300)] = f"own{k}"
+        texts.append(" ".join(t))
+    sets = [frozenset(tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))) if w else frozenset() for w in ((t or "").lower().split() for t in texts)]
+    kinds = set(sets) - {frozenset()}
+    want = {i: sum(s != o and 100 * len(s & o) >= 80 * len(s | o) for o in kinds) if s else 0 for i, s in enumerate(sets)}
+    assert {r["doc_id"]: r["n_links"] for r in jaccard_components(frame(spark, texts)).collect()} == want
+    assert max(want.values()) > 10
+
+
 def test_ngram_join_of_nothing(spark):
     assert jaccard_components(frame(spark, [])).count() == 0
 
