@@ -15,20 +15,24 @@ the order of shingle hashes, which any two linked sets share. A larger partner
 also emits the sketch of the band below where a partner may be.
 
 Within a bucket of equal keys not all pairs are made. Each member is first
-compared with one member picked by hash (stars), linked sets are merged, and only
-members of buckets that still hold several classes are compared further, in
-blocks, across classes. A 512-bit parity sketch (its Hamming distance never
-exceeds the symmetric difference) rules pairs out before the exact comparison.
+compared with one member picked by hash (stars), and linked sets are merged. Only
+buckets that still hold several classes are looked at further, in blocks of bounded
+size. A first pass compares the parity sketches of members of different classes (a
+sketch has at least two bits a shingle, so it rules out most pairs that don't link,
+whatever the sets' size) and gives out the members that have a possible partner,
+not the pairs. A second pass gets the shingles of those members, compares them exactly and
+merges on the spot, so that a block gives out at most one proven link a member. Each
+pair of a bucket is then linked, refuted or already in one component.
 
 All links lie inside the components that are then known. For the number of a class's
-links, all pairs of a component's classes are compared exactly, in blocks.
+links, all pairs of a component's classes are compared exactly, in blocks; again
+only a number a member leaves the block.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Iterator
-from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -38,14 +42,14 @@ from pyspark.sql import functions as F
 from . import text as tx
 from .bloom_bits import bitmap, bits_for, keep_possible, positions
 from .components import components
-from .store import release, written
-
-#: Words of the 512-bit parity sketch.
-LANES = 8
-#: Members of one residual bucket compared in one block.
-BLOCK = 2048
-#: Shingles of about that many in one half of a block whose links are counted.
-BLOCK_TOKENS = 2_000_000
+from .store import release, unused, written
+
+#: Members and shingles, about, of one part of a bucket or component; a block is a part or two.
+BLOCK, BLOCK_TOKENS = 2048, 1_000_000
+#: Pairs of members whose sketches are compared at once.
+PAIRS = 1 << 16
+#: Sets that a task remembers so as to emit the keys of equal ones once; beyond it starts anew.
+KNOWN = 1 << 20
 _U = np.uint64
 
 
@@ -88,39 +92,67 @@ def _identity(tokens: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndar
     return tx.mix(_fold(tokens, offs, np.add)), tx.mix(_fold(tx.mix(tokens), offs, np.bitwise_xor))
 
 
-def _sketch(tokens: np.ndarray, offs: np.ndarray) -> np.ndarray:
-    """Each shingle flips one of 512 bits; rows of LANES 64-bit words."""
-    n, bits = len(offs) - 1, 64 * LANES
-    of = np.repeat(np.arange(n, dtype=np.int64), np.diff(offs))
-    odd = np.bincount(of * bits + (tokens & _U(bits - 1)).astype(np.int64), minlength=n * bits).astype(np.uint8) & 1
-    return np.packbits(odd.reshape(n, bits), axis=1, bitorder="little").view(_U)
+def sketches(tokens: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Parity sketches as 64-bit words, and the n + 1 offsets of each set's words.
 
-
-def _wide_sketches(tokens: np.ndarray, offs: np.ndarray) -> list[bytes]:
-    """A parity sketch of at least two bits a shingle, a power of two; folding a longer one by XOR gives a shorter one."""
+    Each shingle flips one bit. A set's sketch has at least two bits a shingle and a
+    power of two of them; folding a longer one by XOR gives a shorter one.
+    """
     n = np.diff(offs)
     bits = 64 << np.ceil(np.log2(np.maximum(n, 32) / 32)).astype(np.int64)
     base = np.concatenate([[0], np.cumsum(bits)])
     at = np.repeat(base[:-1], n) + (tokens >> _U(9) & np.repeat(bits - 1, n).astype(_U)).astype(np.int64)
     packed = np.packbits(np.bincount(at, minlength=base[-1]).astype(np.uint8) & 1, bitorder="little")
-    return [packed[a // 8 : b // 8].tobytes() for a, b in zip(base[:-1], base[1:], strict=True)]
+    return packed.view(_U), base // 64
+
+
+def _possible(n: np.ndarray, words: np.ndarray, at: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Whether sizes and sketches let rows i and j link; the wider sketch is folded.
+
+    A sketch distance never exceeds the symmetric difference, and a link means that
+    this is at most a ninth of both sizes together.
+    """
+    ok = 100 * np.minimum(n[i], n[j]) >= 80 * np.maximum(n[i], n[j])
+    left = np.flatnonzero(ok)
+    width = np.diff(at)
+    wi, wj = width[i[left]], width[j[left]]
+    least = np.minimum(wi, wj)
+    kind = (least << 16) | (wi // np.maximum(least, 1) << 8) | (wj // np.maximum(least, 1))
+    for k in np.unique(kind).tolist():
+        same, w = left[kind == k], k >> 16
+        for cut in range(0, len(same), max(1, (1 << 20) // max(w, 1))):
+            some = same[cut : cut + max(1, (1 << 20) // max(w, 1))]
+            x, y = (_folded(words, at[side[some]], w, times) for side, times in ((i, k >> 8 & 255), (j, k & 255)))
+            far = np.bitwise_count(x ^ y).sum(axis=1, dtype=np.int64)
+            ok[some] = 9 * far <= n[i[some]] + n[j[some]]
+    return ok
+
+
+def _folded(words: np.ndarray, at: np.ndarray, width: int, times: int) -> np.ndarray:
+    place = at[:, None] + np.arange(width)
+    out = words[place]
+    for r in range(1, times):
+        out ^= words[place + r * width]
+    return out
+
+
+def _sketch_column(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Words and n + 1 offsets of a binary column of sketches."""
+    buf, offs = tx.utf8(column)
+    return np.ascontiguousarray(buf).view(_U), offs // 8
 
 
 def close_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of pairs with both sizes and wide sketches, those whose sketches don't rule a link out."""
+    """Of pairs with both sizes and sketches, those that may link."""
     for batch in batches:
-        na, nb = batch.column(2).to_pylist(), batch.column(3).to_pylist()
-        keep = []
-        for i, (x, y) in enumerate(zip(batch.column(4), batch.column(5), strict=True)):
-            u, v = np.frombuffer(x.as_buffer(), _U), np.frombuffer(y.as_buffer(), _U)
-            short = min(len(u), len(v))
-            u, v = (np.bitwise_xor.reduce(w.reshape(-1, short), axis=0) for w in (u, v))
-            if 9 * int(np.bitwise_count(u ^ v).sum(dtype=np.int64)) <= na[i] + nb[i]:
-                keep.append(i)
-        yield batch.select(["a", "b"]).take(pa.array(keep, pa.int64()))
+        m = batch.num_rows
+        n = np.concatenate([batch.column(2).to_numpy(), batch.column(3).to_numpy()])
+        (u, ua), (v, va) = _sketch_column(batch.column(4)), _sketch_column(batch.column(5))
+        ok = _possible(n, np.concatenate([u, v]), np.concatenate([ua[:-1], va + len(u)]), np.arange(m), np.arange(m) + m)
+        yield batch.select(["a", "b"]).filter(pa.array(ok))
 
 
-SETS = "doc_id long, n long, h1 long, h2 long, " + ", ".join(f"s{i} long" for i in range(LANES)) + ", wide binary"
+SETS = "doc_id long, n long, h1 long, h2 long, wide binary"
 
 
 def set_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -128,9 +160,10 @@ def set_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in tx.slices(whole, "text"):
             tokens, offs = token_sets(batch)
             h1, h2 = _identity(tokens, offs)
-            sk = _sketch(tokens, offs).view(np.int64)
-            cols = [batch.column(0), np.diff(offs), h1.view(np.int64), h2.view(np.int64), *(np.ascontiguousarray(sk[:, i]) for i in range(LANES)), _wide_sketches(tokens, offs)]
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["doc_id", "n", "h1", "h2", *(f"s{i}" for i in range(LANES)), "wide"])
+            words, at = sketches(tokens, offs)
+            wide = pa.Array.from_buffers(pa.binary(), len(offs) - 1, [None, pa.py_buffer((8 * at).astype(np.int32).tobytes()), pa.py_buffer(words.tobytes())])
+            cols = [batch.column(0), *(pa.array(c) for c in (np.diff(offs), h1.view(np.int64), h2.view(np.int64))), wide]
+            yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "n", "h1", "h2", "wide"])
 
 
 def section_keys(tokens: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -167,20 +200,37 @@ def section_keys(tokens: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.n
     return np.concatenate(keys), np.concatenate(owners)
 
 
+class _Known:
+    """Sets that were seen before, up to KNOWN of them (16 bytes each)."""
+
+    def __init__(self) -> None:
+        self.h1, self.h2 = np.zeros(0, _U), np.zeros(0, _U)
+
+    def new(self, h1: np.ndarray, h2: np.ndarray) -> np.ndarray:
+        """The first places of sets not seen before; two that share h1 alone count as new."""
+        _, first = np.unique(np.stack([h1, h2]), axis=1, return_index=True)
+        spot = np.searchsorted(self.h1, h1[first])
+        held = np.zeros(len(first), bool)
+        inside = spot < len(self.h1)
+        held[inside] = (self.h1[spot[inside]] == h1[first[inside]]) & (self.h2[spot[inside]] == h2[first[inside]])
+        first, spot = first[~held], spot[~held]
+        if len(self.h1) + len(first) > KNOWN:
+            self.__init__()
+            spot = np.zeros(len(first), np.int64)
+        self.h1, self.h2 = np.insert(self.h1, spot, h1[first]), np.insert(self.h2, spot, h2[first])
+        return np.sort(first)
+
+
 def key_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(key, set hash); a task emits equal sets once. It remembers 16 bytes for each set of its own partition."""
-    seen: set[tuple[int, int]] = set()
+    """(key, set hash); a task emits the keys of equal sets once, as far as it remembers them."""
+    known = _Known()
     for whole in batches:
         for batch in tx.slices(whole, "text"):
             tokens, offs = token_sets(batch)
             h1, h2 = _identity(tokens, offs)
-            new = np.zeros(len(h1), bool)
-            for i, x in enumerate(zip(h1.tolist(), h2.tolist(), strict=True)):
-                if x not in seen:
-                    seen.add(x)
-                    new[i] = True
             sizes = np.diff(offs)
-            left = np.flatnonzero(new & (sizes > 0))
+            left = known.new(h1, h2)
+            left = left[sizes[left] > 0]
             tokens = tokens[tx.ragged(offs[left], sizes[left])]
             keys, owners = section_keys(tokens, np.concatenate([[0], np.cumsum(sizes[left])]))
             yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(h1[left][owners].view(np.int64))], names=["key", "h"])
@@ -197,7 +247,7 @@ def shared_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     star: int | None = None  # set once that key has shown two different h
 
     def out(k: np.ndarray, h: np.ndarray, s: np.ndarray) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(k), pa.array(h), pa.array(s)], names=["key", "h", "star"])
+        return pa.RecordBatch.from_arrays([pa.array(k), pa.array(h), pa.array(s)], names=["key", "member", "center"])
 
     for batch in batches:
         if not batch.num_rows:
@@ -235,103 +285,162 @@ def shared_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield out(name[emit], h[emit], pick[run][emit])
 
 
-def _distance(a: str, b: str) -> str:
-    return " + ".join(f"bit_count({a}.s{i} ^ {b}.s{i})" for i in range(LANES))
-
-
-#: What two linked sets' sizes and parity sketches satisfy.
-_POSSIBLE = "100 * least(x.n, y.n) >= 80 * greatest(x.n, y.n) and 9 * ({}) <= x.n + y.n"
-
-
-def cross_class_pairs(batches: Iterator[pa.RecordBatch], nearest: bool) -> Iterator[pa.RecordBatch]:
-    """From rows sorted by block, the possible links between members of different classes.
-
-    With `nearest`, for each member and other class only the pair with the least sketch distance.
-    """
-    names = ["bucket", "id", "label", "n", *(f"s{i}" for i in range(LANES))]
+def _whole_blocks(batches: Iterator[pa.RecordBatch], names: list[str]) -> Iterator[pa.Table]:
+    """Tables of whole blocks, from rows sorted by `bucket`."""
     rest: pa.Table | None = None
-
-    def pairs(t: pa.Table) -> Iterator[pa.RecordBatch]:
-        bucket, ids, label, n = (t.column(c).to_numpy() for c in names[:4])
-        sk = np.stack([t.column(c).to_numpy() for c in names[4:]], axis=1).view(_U)
-        cuts = np.concatenate([[0], np.flatnonzero(bucket[1:] != bucket[:-1]) + 1, [len(bucket)]])
-        a, b = [], []
-        for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
-            for i in range(lo, hi - 1):
-                j = np.arange(i + 1, hi)
-                j = j[(label[j] != label[i]) & (100 * np.minimum(n[j], n[i]) >= 80 * np.maximum(n[j], n[i]))]
-                if len(j):
-                    far = np.bitwise_count(sk[j] ^ sk[i]).sum(axis=1, dtype=np.int64)
-                    near = 9 * far <= n[j] + n[i]
-                    j, far = j[near], far[near]
-                    if nearest and len(j) > 1:
-                        order = np.lexsort((far, label[j]))
-                        j = j[order][np.concatenate([[True], np.diff(label[j][order]) != 0])]
-                    a.append(np.minimum(ids[j], ids[i]))
-                    b.append(np.maximum(ids[j], ids[i]))
-        if a:
-            both = np.unique(np.stack([np.concatenate(a), np.concatenate(b)]), axis=1)
-            yield pa.RecordBatch.from_arrays([pa.array(both[0]), pa.array(both[1])], names=["a", "b"])
-
     for batch in batches:
         t = pa.Table.from_batches([batch.select(names)])
         if rest is not None:
             t = pa.concat_tables([rest, t])
-        if not t.num_rows:
-            continue
         bucket = t.column("bucket").to_numpy()
-        cut = int(np.flatnonzero(bucket != bucket[-1])[-1]) + 1 if (bucket != bucket[-1]).any() else 0
-        rest = t.slice(cut)  # at most two blocks
+        other = np.flatnonzero(bucket != bucket[-1]) if len(bucket) else []
+        cut = int(other[-1]) + 1 if len(other) else 0
+        rest = t.slice(cut)
         if cut:
-            yield from pairs(t.slice(0, cut))
+            yield t.slice(0, cut).combine_chunks()
     if rest is not None and rest.num_rows:
-        yield from pairs(rest)
+        yield rest.combine_chunks()
+
+
+def _pairs(bucket: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places (i, j), i < j, of rows in the same bucket, about PAIRS at a time; i ascends."""
+    edges = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1], [True]]))
+    rows = np.arange(len(bucket))
+    count = np.repeat(edges[1:], np.diff(edges)) - rows - 1
+    upto = np.concatenate([[0], np.cumsum(count)])
+    lo = 0
+    while lo < len(rows):
+        hi = max(lo + 1, int(np.searchsorted(upto, upto[lo] + PAIRS, "right")) - 1)
+        if upto[hi] > upto[lo]:
+            yield np.repeat(rows[lo:hi], count[lo:hi]), tx.ragged(rows[lo:hi] + 1, count[lo:hi])
+        lo = hi
+
+
+def open_members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """From rows sorted by block, those that may link with a member of another class there."""
+    for t in _whole_blocks(batches, ["bucket", "id", "label", "n", "wide"]):
+        bucket, label, n = (t.column(c).to_numpy() for c in ("bucket", "label", "n"))
+        words, at = _sketch_column(t.column("wide"))
+        found = np.zeros(len(n), bool)
+        for i, j in _pairs(bucket):
+            ask = (label[i] != label[j]) & ~(found[i] & found[j])
+            i, j = i[ask], j[ask]
+            ok = _possible(n, words, at, i, j)
+            found[i[ok]] = found[j[ok]] = True
+        yield from t.select(["bucket", "id", "label"]).filter(pa.array(found)).to_batches()
+
+
+def _tokens(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+    """Values and n + 1 offsets of a list column."""
+    lists = column.combine_chunks()
+    lists = lists.chunk(0) if isinstance(lists, pa.ChunkedArray) else lists
+    offs = lists.offsets.to_numpy().astype(np.int64)
+    return lists.values.to_numpy()[offs[0] : offs[-1]].view(_U), offs - offs[0]
+
+
+def _common(tokens: np.ndarray, offs: np.ndarray, i: int, js: np.ndarray) -> np.ndarray:
+    """How many shingles set i has in common with each of the sets js; none may be empty."""
+    own, size = tokens[offs[i] : offs[i + 1]], np.diff(offs)[js]
+    other = tokens[tx.ragged(offs[js], size)]
+    hit = own[np.minimum(np.searchsorted(own, other), len(own) - 1)] == other
+    return np.add.reduceat(hit, np.cumsum(size) - size, dtype=np.int64)
+
+
+def proven_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """From rows with shingles sorted by block, links (a, b) that join all classes which links in it join.
+
+    Two linked members whose classes earlier links of the block have joined give no
+    row: a block gives fewer rows than it has members.
+    """
+    for t in _whole_blocks(batches, ["bucket", "id", "label", "tokens"]):
+        bucket, ids, label = (t.column(c).to_numpy().copy() for c in ("bucket", "id", "label"))
+        tokens, offs = _tokens(t.column("tokens"))
+        words, at = sketches(tokens, offs)
+        n, edges = np.diff(offs), np.searchsorted(bucket, np.unique(bucket))
+        ends = np.append(edges[1:], len(bucket))
+        a, b = [], []
+        for i, j in _pairs(bucket):
+            ask = label[i] != label[j]
+            i, j = i[ask], j[ask]
+            ok = _possible(n, words, at, i, j)
+            i, j = i[ok], j[ok]
+            for x, first, count in zip(*np.unique(i, return_index=True, return_counts=True), strict=True):
+                js = j[first : first + count]
+                js = js[label[js] != label[x]]
+                if not len(js):
+                    continue
+                both = _common(tokens, offs, x, js)
+                js = js[100 * both >= 80 * (n[x] + n[js] - both)]
+                block = slice(edges[k := int(np.searchsorted(edges, x, "right")) - 1], ends[k])
+                for y in js.tolist():
+                    if label[y] != label[x]:
+                        a.append(min(ids[x], ids[y]))
+                        b.append(max(ids[x], ids[y]))
+                        label[block][label[block] == label[y]] = label[x]
+        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
 
 def token_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for whole in batches:
         for batch in tx.slices(whole, "text"):
             tokens, offs = token_sets(batch)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(offs.astype(np.int32)), pa.array(tokens.view(np.int64)))], names=["doc_id", "tokens"])
+            h1, _ = _identity(tokens, offs)
+            yield pa.RecordBatch.from_arrays([pa.array(h1.view(np.int64)), pa.ListArray.from_arrays(pa.array(offs.astype(np.int32)), pa.array(tokens.view(np.int64)))], names=["id", "tokens"])
 
 
-def verified(docs: DataFrame, sets: DataFrame, pairs: DataFrame) -> DataFrame:
-    """The pairs (a, b) of class representatives whose sets really link.
+def tokens_of(docs: DataFrame, ids: DataFrame, classes: DataFrame) -> DataFrame:
+    """(id, tokens): the shingles of the given classes, as a written table.
 
-    Wide parity sketches rule out most pairs that don't. Only texts that a bounded
-    Bloom bitmap of the needed ids lets through are shuffled, and of them only
-    shingle hashes.
+    A bounded Bloom bitmap of their smallest doc_ids picks the texts to shingle; texts are not shuffled.
     """
-    near = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("n").alias("na"), F.col("wide").alias("wa")), "a")
-    near = near.join(sets.select(F.col("doc_id").alias("b"), F.col("n").alias("nb"), F.col("wide").alias("wb")), "b")
-    near = near.select("a", "b", "na", "nb", "wa", "wb").mapInArrow(close_pairs, "a long, b long")
-    pairs = written(near.distinct())
-    needed = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
-    bits = bits_for(needed.count())
-    at = needed.select(F.explode(F.array(*positions(F.col("id"), bits))).alias("p"))
+    own = classes.select("id", "doc").join(ids, "id", "left_semi")
+    bits = bits_for(ids.count())
+    at = own.select(F.explode(F.array(*positions(F.col("doc"), bits))).alias("p"))
     held = keep_possible(docs, bitmap(at, "p"), F.col("doc_id"), bits).where("_maybe").select("doc_id", "text")
-    exact = held.mapInArrow(token_rows, "doc_id long, tokens array<long>")
-    exact = written(exact.join(needed, F.col("doc_id") == F.col("id"), "left_semi"))
-    left = pairs.join(exact.select(F.col("doc_id").alias("b"), F.col("tokens").alias("tb")), "b")
-    both = left.join(exact.select(F.col("doc_id").alias("a"), F.col("tokens").alias("ta")), "a")
-    both = both.select("a", "b", F.size("ta").cast("long").alias("na"), F.size("tb").cast("long").alias("nb"), F.size(F.array_intersect("ta", "tb")).cast("long").alias("common"))
-    links = written(both.where("100 * common >= 80 * (na + nb - common)").select("a", "b"))
-    del held, exact, left, both, near
-    release(docs.sparkSession)
-    return links
+    held = held.mapInArrow(token_rows, "id long, tokens array<long>")
+    return written(held.join(ids, "id", "left_semi").dropDuplicates(["id"]))
+
+
+def _joined(pairs: DataFrame, side: DataFrame, *columns: str) -> DataFrame:
+    """Pairs (a, b) with both ends' columns of `side`, named after the end."""
+    out = pairs
+    for end in ("a", "b"):
+        out = out.join(side.select(F.col("id").alias(end), *(F.col(c).alias(c + end) for c in columns)), end)
+    return out
+
 
+def star_links(docs: DataFrame, classes: DataFrame, pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Of pairs of classes those that link, and the shingles that decided it."""
+    near = _joined(pairs, classes, "n", "wide").select("a", "b", "na", "nb", "widea", "wideb").mapInArrow(close_pairs, "a long, b long")
+    near = written(near)
+    tokens = tokens_of(docs, near.select(F.col("a").alias("id")).union(near.select("b")).distinct(), classes)
+    both = _joined(near, tokens, "tokens")
+    both = both.select("a", "b", (F.size("tokensa") + F.size("tokensb")).cast("long").alias("sizes"), F.size(F.array_intersect("tokensa", "tokensb")).cast("long").alias("common"))
+    return written(both.where("100 * common >= 80 * (sizes - common)").select("a", "b")), tokens
 
-def _residual_pairs(members: DataFrame, merged: DataFrame, small: DataFrame, nearest: bool) -> DataFrame:
-    """Possible links between different classes in the buckets (key, id) that hold several, compared in blocks."""
+
+def _dealt(rows: DataFrame, key: str, size: str) -> DataFrame:
+    """Rows dealt to blocks: each key's rows are hashed into parts of bounded size, and each two parts of a key are a block.
+
+    Adds c, the row's part, and lo and hi, the block's parts. A key of one part has one block.
+    """
+    parts = rows.groupBy(key).agg(F.ceil(F.greatest(F.count("*") / BLOCK, F.sum(size) / BLOCK_TOKENS)).cast("int").alias("_parts"))
+    out = rows.join(parts, key).withColumn("c", F.pmod(F.xxhash64("id"), F.col("_parts")).cast("int"))
+    out = out.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)))
+    return out.withColumn("lo", F.least("c", "_other")).withColumn("hi", F.greatest("c", "_other")).drop("_parts", "_other")
+
+
+def residual_links(docs: DataFrame, classes: DataFrame, members: DataFrame, merged: DataFrame, tokens: DataFrame) -> DataFrame:
+    """Links that join the classes of those buckets (key, id) that hold several."""
     labelled = written(members.join(merged, "id", "left").select("key", "id", F.coalesce("component", "id").alias("label")))
-    mixed = labelled.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("members")).where("lo <> hi")
-    left = labelled.join(mixed.select("key", "members"), "key").join(small, "id")
-    blocks = F.ceil(F.col("members") / BLOCK).cast("int")
-    left = left.withColumn("q", blocks).withColumn("c", F.pmod(F.xxhash64("id"), F.col("q")).cast("int"))
-    left = left.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("q") - 1)))
-    left = left.withColumn("bucket", F.xxhash64("key", F.least("c", "o"), F.greatest("c", "o")))
-    left = left.select("bucket", "id", "label", "n", *(f"s{i}" for i in range(LANES))).repartition("bucket").sortWithinPartitions("bucket")
-    return left.mapInArrow(partial(cross_class_pairs, nearest=nearest), "a long, b long").distinct()
+    mixed = labelled.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("key")
+    left = labelled.join(mixed, "key").join(classes.select("id", "n", "wide"), "id")
+    left = _dealt(left, "key", "n").withColumn("bucket", F.xxhash64("key", "lo", "hi")).select("bucket", "id", "label", "n", "wide")
+    left = written(left.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(open_members, "bucket long, id long, label long"))
+    ids = left.select("id").distinct()
+    tokens = tokens.unionByName(tokens_of(docs, written(ids.join(tokens, "id", "left_anti")), classes))
+    exact = left.join(tokens, "id").repartition("bucket").sortWithinPartitions("bucket")
+    return written(exact.mapInArrow(proven_links, "a long, b long").distinct())
 
 
 def link_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -371,16 +480,10 @@ def link_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield counted(block[1] != block[2])
 
 
-def counted_links(docs: DataFrame, merged: DataFrame) -> DataFrame:
+def counted_links(docs: DataFrame, classes: DataFrame, merged: DataFrame) -> DataFrame:
     """(id, n_links): the exact number of links of every class (id, component) that has any."""
-    bits = bits_for(merged.count())
-    at = merged.select(F.explode(F.array(*positions(F.col("id"), bits))).alias("p"))
-    some = keep_possible(docs, bitmap(at, "p"), F.col("doc_id"), bits).where("_maybe").select("doc_id", "text")
-    sets = some.mapInArrow(token_rows, "doc_id long, tokens array<long>")
-    sets = written(sets.join(merged, F.col("doc_id") == F.col("id")).dropDuplicates(["id"]).select("component", "id", "tokens"))
-    parts = sets.groupBy("component").agg(F.ceil(F.greatest(F.count("*") / BLOCK, F.sum(F.size("tokens")) / BLOCK_TOKENS)).cast("int").alias("q"))
-    dealt = sets.join(parts, "component").withColumn("c", F.pmod(F.xxhash64("id"), F.col("q")).cast("int")).withColumn("o", F.explode(F.sequence(F.lit(0), F.col("q") - 1)))
-    dealt = dealt.select("component", F.least("c", "o").alias("lo"), F.greatest("c", "o").alias("hi"), "id", "c", "tokens")
+    sets = tokens_of(docs, merged.select("id"), classes).join(merged, "id").withColumn("size", F.size("tokens"))
+    dealt = _dealt(written(sets), "component", "size").select("component", "lo", "hi", "id", "c", "tokens")
     dealt = dealt.repartition("component", "lo", "hi").sortWithinPartitions("component", "lo", "hi")
     return dealt.mapInArrow(link_counts, "id long, n long").groupBy("id").agg(F.sum("n").alias("n_links"))
 
@@ -388,52 +491,52 @@ def counted_links(docs: DataFrame, merged: DataFrame) -> DataFrame:
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", count_links: bool = True) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id, class_id and n_links.
 
-    class_id is the smallest doc_id with the same shingle set; n_links is the
+    Documents with the same shingle set are a class. class_id is its smallest
+    doc_id, component_id the smallest one reachable by links. n_links is the
     number of other classes that the class links with; without `count_links`, which
-    saves comparing all pairs of a component, there is no such column. Null and empty texts have no shingles and
-    link with nothing. Repeated rows stay repeated. An empty table gives no rows.
-    Other columns of the input are ignored, whatever their names.
+    saves comparing all pairs of a component, there is no such column. Null and empty
+    texts have no shingles and link with nothing. Repeated rows stay repeated; rows
+    that repeat a doc_id with another text are placed by their own text. Rows
+    without a doc_id bear the ids of their class, or null if it has none. An empty
+    table gives no rows. Other columns of the input are ignored, whatever their names.
     """
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     sets = written(docs.mapInArrow(set_rows, SETS))
-    lanes = [f"s{i}" for i in range(LANES)]
-    classes = written(sets.where("n > 0").groupBy("n", "h1", "h2").agg(F.min("doc_id").alias("id"), *(F.min(s).alias(s) for s in lanes)))
+    # A class goes by its first hash, `id`; `doc` is its smallest doc_id.
+    classes = sets.where("n > 0").groupBy("n", "h1", "h2").agg(F.min("doc_id").alias("doc"), F.first("wide").alias("wide"))
+    classes = written(classes.select("n", "h1", "h2", F.col("h1").alias("id"), "doc", "wide"))
     keys = docs.mapInArrow(key_rows, "key long, h long")
-    buckets = keys.repartition("key").sortWithinPartitions("key", "h").mapInArrow(shared_keys, "key long, h long, star long")
+    buckets = keys.repartition("key").sortWithinPartitions("key", "h").mapInArrow(shared_keys, "key long, member long, center long")
     buckets = written(buckets.distinct())
     del keys
     release(docs.sparkSession)
-    of = classes.select("h1", "id")
-    buckets = buckets.join(of.withColumnRenamed("id", "member"), F.col("h") == F.col("h1")).drop("h", "h1")
-    buckets = written(buckets.join(of.withColumnRenamed("id", "center"), F.col("star") == F.col("h1")).select("key", "member", "center"))
 
-    small = classes.select("id", "n", *lanes)
     pairs = buckets.where("member <> center").select(F.least("member", "center").alias("a"), F.greatest("member", "center").alias("b")).distinct()
-    pairs = pairs.join(small.alias("x"), F.col("a") == F.col("x.id")).join(small.alias("y"), F.col("b") == F.col("y.id"))
-    links = verified(docs, sets, pairs.where(_POSSIBLE.format(_distance("x", "y"))).select("a", "b"))
+    links, tokens = star_links(docs, classes, pairs)
     merged = written(components(links))
+    release(docs.sparkSession)
+    links = links.union(residual_links(docs, classes, buckets.select("key", F.col("member").alias("id")), merged, tokens))
+    merged = written(components(links))
+    release(docs.sparkSession)
 
-    members = buckets.select("key", F.col("member").alias("id"))
-    for nearest in (True, False):  # most classes that belong together meet in their nearest pairs; then all other pairs follow
-        links = written(links.union(verified(docs, sets, _residual_pairs(members, merged, small, nearest))))
-        merged = written(components(links))
-
-    done = classes.select("n", "h1", "h2", "id").join(merged, "id", "left")
+    own = classes.select("n", "h1", "h2", "id", F.col("doc").alias("class_id")).join(merged, "id", "left")
+    least = own.where("component is not null").groupBy("component").agg(F.min("class_id").alias("component_id"))
+    done = own.join(least, "component", "left").withColumn("component_id", F.coalesce("component_id", "class_id"))
     if count_links:
-        done = done.join(written(counted_links(docs, merged)), "id", "left")
+        done = done.join(written(counted_links(docs, classes, merged)), "id", "left").withColumn("n_links", F.coalesce("n_links", F.lit(0)).cast("long"))
     shown = ["n_links"] if count_links else []
-    done = done.select("n", "h1", "h2", F.col("id").alias("class_id"), F.coalesce("component", "id").alias("component_id"), *shown)
-    out = sets.select("doc_id", "n", "h1", "h2").join(done, ["n", "h1", "h2"], "left")
-    shown = [F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links")] if count_links else []
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), F.coalesce("class_id", "doc_id").alias("class_id"), *shown)
+    out = sets.select("doc_id", "n", "h1", "h2").join(done.select("n", "h1", "h2", "class_id", "component_id", *shown), ["n", "h1", "h2"], "left")
+    alone = [F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links")] if count_links else []
+    return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), F.coalesce("class_id", "doc_id").alias("class_id"), *alone)
 
 
 def near_duplicate_filter(docs: DataFrame) -> DataFrame:
     """The rows of `docs` without near duplicates: of each group the smallest doc_id stays, all columns kept.
 
-    Documents without words are in no group and all stay, and so do all rows that
-    repeat the doc_id that stays.
+    Documents without words are in no group and all stay, and so do rows without a
+    doc_id and all rows that repeat the doc_id that stays. A doc_id that is repeated
+    with different texts goes only if each of them would. An empty table stays empty.
     """
-    marks = jaccard_components(docs, count_links=False).select(F.col("doc_id").alias("_id"), "component_id", "n_shingles")
-    drop = marks.where("_id <> component_id").select("_id").distinct()
-    return docs.join(drop, F.col("doc_id") == F.col("_id"), "left_anti")
+    marks, own = jaccard_components(docs, count_links=False), unused(docs, "own")
+    drop = marks.groupBy(F.col("doc_id").alias(own)).agg(F.every(F.col("doc_id") != F.col("component_id")).alias("gone")).where("gone").select(own)
+    return docs.join(drop, F.col("doc_id") == F.col(own), "left_anti")

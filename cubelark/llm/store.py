@@ -53,6 +53,14 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """A column name like `name` that `df` doesn't have, whatever its case."""
+    held = {c.lower() for c in df.columns}
+    while name.lower() in held:
+        name += "_"
+    return name
+
+
 def numbered(df: DataFrame, keys: list[str], within: str | None = None, total: str | None = None, number: str = "slot") -> DataFrame:
     """Add each row's place in the order of `keys`, without one task seeing all rows.
 
