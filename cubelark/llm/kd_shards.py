@@ -90,5 +90,5 @@ def kd_shards(docs: DataFrame, shards: int | None = None, target_bytes: int | No
     order = sorted(quota, key=lambda n: bin(n)[3:])
     names = spark.createDataFrame([(n, i) for i, n in enumerate(order)], "node long, shard int")
     placed = rows.join(F.broadcast(names), "node").select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard")
-    out = numbered(placed, ["shard", "doc_id"], within="shard")
+    out = numbered(placed, ["shard", "doc_id"])
     return out.select("doc_id", "size", "text_crc32", "law", "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))

@@ -15,15 +15,18 @@ CHECKPOINT = "spark.checkpoint.dir"
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors share.
 
-    It is the cluster's ``spark.checkpoint.dir``. Only where a session names
-    none (a test on one machine) a temporary folder takes its place.
+    It is the cluster's ``spark.checkpoint.dir``, or the folder set by
+    ``setCheckpointDir``. Where a session has neither, a temporary folder serves a
+    local master, whose tasks share the machine; on a cluster it is an error.
     """
-    where = spark.conf.get(CHECKPOINT, None)
+    context = spark.sparkContext
+    where = spark.conf.get(CHECKPOINT, None) or context.getCheckpointDir()
     if not where:
-        held = spark.sparkContext._jsc.sc().getCheckpointDir()
-        where = held.get() if held.isDefined() else tempfile.mkdtemp(prefix="shared-")
-    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        spark.sparkContext.setCheckpointDir(where)
+        if not context.master.startswith("local"):
+            raise RuntimeError(f"{CHECKPOINT} must name a folder that the driver and all executors share")
+        where = tempfile.mkdtemp(prefix="shared-")
+    if not context.getCheckpointDir():
+        context.setCheckpointDir(where)
     return where
 
 
@@ -61,34 +64,47 @@ def unused(df: DataFrame, name: str) -> str:
     return name
 
 
-def numbered(df: DataFrame, keys: list[str], within: str | None = None, total: str | None = None, number: str = "slot") -> DataFrame:
-    """Add each row's place in the order of `keys`, without one task seeing all rows.
+#: A key is hot from one of so many parts of a join's rows on (so there are at most that many such keys), but not below so many rows.
+HOT_PARTS, HOT_ROWS = 1000, 1000
 
-    Rows are range-partitioned on the keys and made durable, each partition is
-    counted (one small row per partition, and per value of `within`), and a
-    running sum of those counts gives each partition its first number. `within`
-    restarts the number for every value of that leading key. With `total`, the
-    number is instead the running sum of that column over the rows before.
-    Ties keep the order of the durable copy, so one result stays consistent.
+
+def join_hot(rows: DataFrame, by_key: DataFrame, key: str, weight: str, how: str = "inner") -> DataFrame:
+    """`rows` joined with `by_key`, which has one row a key and in `weight` about how many of the rows bear it.
+
+    One task of a plain join would take all rows of a hot key. Hot keys are at most
+    HOT_PARTS rows, so they are broadcast and their rows stay where they are; the
+    others are joined as usual. Both tables are read twice: give durable ones. `how` is inner or left.
+    """
+    total, most = by_key.agg(F.sum(weight), F.max(weight)).first()
+    least = max(HOT_ROWS, (total or 0) // HOT_PARTS)
+    if (most or 0) < least:
+        return rows.join(by_key.drop(weight), key, how)
+    hot = F.broadcast(by_key.where(F.col(weight) >= least).drop(weight))
+    rest = rows.join(hot.select(key), key, "left_anti").join(by_key.where(F.col(weight) < least).drop(weight), key, how)
+    return rows.join(hot, key).unionByName(rest)
+
+
+def numbered(df: DataFrame, keys: list[str], number: str = "slot") -> DataFrame:
+    """Add each row's place from 0 in the order of `keys` among the rows with the same first key.
+
+    No task sees all rows, not even those of one first key: rows are
+    range-partitioned on the keys, made durable and numbered inside each partition.
+    Only the first value of a partition can go on from earlier ones, so one small row a
+    partition tells where its numbers begin. Ties keep the order of the durable
+    copy. Nulls come first.
     """
-    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    spark, within = df.sparkSession, keys[0]
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     placed = durable(df.repartitionByRange(n, *keys).sortWithinPartitions(*keys)).withColumn("_part", F.spark_partition_id())
-    groups = ["_part"] + ([within] if within else [])
-    weight = F.col(total) if total else F.lit(1)
-    counts = placed.groupBy(*groups).agg(F.sum(weight).cast("long").alias("_n")).collect()  # partitions x values of within
-    first, run = [], {}
-    for row in sorted(counts, key=lambda r: r["_part"]):
-        of = row[within] if within else None
-        first.append((*(row[g] for g in groups), run.get(of, 0)))
-        run[of] = run.get(of, 0) + (row["_n"] or 0)
-    schema = ", ".join(f"{g} {placed.schema[g].dataType.simpleString()}" for g in groups) + ", _first long"
-    starts = df.sparkSession.createDataFrame(first, schema)
-    order = ", ".join(keys)
-    by = ", ".join(groups)
-    placed = placed.join(F.broadcast(starts), groups)  # one row per partition and value
-    if total:
-        inside = F.expr(f"sum({total}) over (partition by {by} order by {order} rows between unbounded preceding and 1 preceding)")
-        placed = placed.withColumn(number, F.col("_first") + F.coalesce(inside, F.lit(0)))
-    else:
-        placed = placed.withColumn(number, F.col("_first") + F.expr(f"row_number() over (partition by {by} order by {order})") - 1)
-    return placed.withColumn(number, F.col(number).cast("long")).drop("_part", "_first")
+    sizes = placed.groupBy("_part", within).agg(F.count("*").alias("n")).withColumn("x", F.struct(within, "n"))
+    ends = sizes.groupBy("_part").agg(F.min("x").alias("first"), F.max("x").alias("last")).orderBy("_part").collect()  # one row a partition
+    begins, run, value = [], 0, None
+    for i, (part, first, last) in enumerate(ends):
+        at = run if i and first[0] == value else 0
+        begins.append((part, first[0], at))
+        run, value = (at + first[1] if first[0] == last[0] else last[1]), last[0]
+    kind = placed.schema[within].dataType.simpleString()
+    begins = spark.createDataFrame(begins, f"_part int, _value {kind}, _first long")
+    inside = F.expr(f"row_number() over (partition by _part, {within} order by {', '.join(keys)})") - 1
+    first = F.when(F.col(within).eqNullSafe(F.col("_value")), F.col("_first")).otherwise(0)
+    return placed.join(F.broadcast(begins), "_part").withColumn(number, (inside + first).cast("long")).drop("_part", "_value", "_first")
