@@ -105,34 +105,37 @@ def pack(values: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]
 def unpack(words: np.ndarray, offs: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """The values of consecutive blocks."""
     selector = (words >> _U(60)).astype(np.int64)
-    if (selector == 0).any():
-        return _unpack_escaped(words, offs, sizes)
     count = COUNTS[selector]
+    bits = BITS[selector]
+    raw = _escaped(selector == 0, offs)
+    if raw is not None:  # an escape's own word gives nothing, the next one is its value
+        count = np.where(raw, 1, np.where(selector == 0, 0, count))
+        bits = np.where(raw, 0, bits)
     which = np.repeat(np.arange(len(words)), count)
     ends = np.cumsum(count)
     k = np.arange(len(which)) - np.repeat(ends - count, count)
-    bits = BITS[selector]
     mask = (_U(1) << bits.astype(_U)) - _U(1)
+    if raw is not None:
+        mask[raw] = ~_U(0)
     values = (words[which] >> (k * bits[which]).astype(_U)) & mask[which]
     starts = np.concatenate([[0], ends])[offs[:-1]]
     return values[tx.ragged(starts, sizes)]
 
 
-def _unpack_escaped(words: np.ndarray, offs: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    out = []
-    for b, size in enumerate(sizes.tolist()):
-        own, at = [], int(offs[b])
-        while len(own) < size:
-            word = int(words[at])
-            s = word >> 60
-            if s:
-                own += [(word >> (k * int(BITS[s]))) & ((1 << int(BITS[s])) - 1) for k in range(COUNTS[s])]
-            else:
-                at += 1
-                own.append(int(words[at]))
-            at += 1
-        out += own[:size]
-    return np.array(out, _U)
+def _escaped(zero: np.ndarray, offs: np.ndarray) -> np.ndarray | None:
+    """Which words are escaped values; None if no word has selector 0.
+
+    A word is a value if the one before it is an escape, which is a word with selector 0
+    that is no value itself: so an odd number of such words must stand before it in its block.
+    """
+    if not zero.any():
+        return None
+    at = np.arange(len(zero))
+    first = np.zeros(len(zero), bool)
+    first[offs[:-1][np.diff(offs) > 0]] = True
+    begin = np.ones(len(zero), bool)  # places where a run of such words may begin
+    begin[1:] = ~zero[:-1] | first[1:]
+    return (at - np.maximum.accumulate(np.where(begin, at, 0))) % 2 == 1
 
 
 @lru_cache(maxsize=2)
