@@ -9,7 +9,11 @@ at every position. Characters that no piece covers become byte pieces.
 
 No piece continues across the start of a run of spaces, so a text falls apart
 into chunks; each distinct chunk of a batch is segmented once, all of them side by
-side.
+side. A long chunk, such as a text without spaces, is cut into windows that are
+segmented side by side too, each beginning a way before the last one ends. Where the
+best paths to all positions near that end pass one common position in both windows, the
+windows' scores differ by a constant from there on, so both go on alike and the
+paths are joined at that position. Where there is none, the chunk is segmented in one run.
 """
 
 from __future__ import annotations
@@ -29,8 +33,8 @@ from . import text as tx
 #: Fixed values of the SentencePiece format: the mark for a space, and how far below the least score an unknown character scores.
 SPACE_MARK = "▁".encode()
 UNKNOWN_PENALTY = 10.0
-#: Bytes of text segmented at once, and bytes of a chunk from which a plain loop is faster than array steps.
-BATCH_BYTES, LONG_CHUNK = 6 << 20, 512
+#: Bytes of text segmented at once, of a window of a longer chunk, and of what two windows share at least.
+BATCH_BYTES, WINDOW, SHARED = 2 << 20, 512, 192
 
 
 @dataclass
@@ -71,7 +75,7 @@ def build(model: bytes) -> Automaton:
             at = to
         piece[at] = i
     states = len(child)
-    step = np.zeros((states, 256), np.int32)
+    step = np.zeros((states, 256), np.uint16 if states <= 1 << 16 else np.int32)
     output, link = np.zeros(states, np.int32), np.zeros(states, np.int32)
     fail = [0] * states
     queue = [0]
@@ -107,7 +111,7 @@ def automaton(model: bytes) -> Automaton:
 
 
 def _segment_long(a: Automaton, data: bytes) -> list[int]:
-    """One long chunk, in plain Python; the same rules as `segment`."""
+    """One chunk in plain Python; the same rules as `segment`."""
     step, output, link, piece = a.step, a.output, a.link, a.piece
     n = len(data)
     best, back, came = [0.0] + [-np.inf] * n, [0] * (n + 1), [0] * (n + 1)
@@ -136,21 +140,34 @@ def _segment_long(a: Automaton, data: bytes) -> list[int]:
     return out[::-1]
 
 
-def segment(a: Automaton, buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Ids of each span of buf, and the n + 1 offsets of each span's ids."""
-    size = ends - starts
-    order = np.argsort(-size, kind="stable")
-    long = int((size > LONG_CHUNK).sum())
-    slow = {int(i): np.array(_segment_long(a, buf[starts[i] : ends[i]].tobytes()), np.int32) for i in order[:long]}
-    lanes = order[long:]
-    s, n = starts[lanes], size[lanes]
+def _windows(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, shared: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start, end and span of each lane: spans of at most a window whole, others in overlapping windows cut between characters."""
+    window = max(WINDOW, 2 * shared)
+    short = np.flatnonzero(ends - starts <= window + shared)
+    first, last, owner = [starts[short]], [ends[short]], [short]
+    for i in np.flatnonzero(ends - starts > window + shared):
+        stops = np.append(np.arange(starts[i] + window, ends[i] - shared, window), ends[i])
+        for edges in (stops[:-1], begin := np.concatenate([[starts[i]], stops[:-1] - shared])):
+            for _ in range(3):
+                edges -= buf[edges] & 0xC0 == 0x80
+        first.append(begin)
+        last.append(stops)
+        owner.append(np.full(len(stops), i))
+    return np.concatenate(first), np.concatenate(last), np.concatenate(owner)
+
+
+def _forward(a: Automaton, buf: np.ndarray, s: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Best score, last piece (-1: an unknown character) and its bytes, at each position of each lane, and the lanes' bases.
+
+    Lanes are in order of falling size and take one step together for each byte.
+    """
     base = np.concatenate([[0], np.cumsum(n + 1)])
     best = np.full(base[-1], -np.inf)
     best[base[:-1]] = 0
-    back, width = np.full(base[-1], -1, np.int32), np.zeros(base[-1], np.int64)
+    back, width = np.full(base[-1], -1, np.int32), np.zeros(base[-1], np.int32)
     steps = int(n.max(initial=0))
     live = np.searchsorted(-n, -np.arange(1, steps + 1), "right")
-    state, char = np.zeros(len(lanes), np.int32), np.zeros(len(lanes), np.int64)
+    state, char = np.zeros(len(s), a.step.dtype), np.zeros(len(s), np.int64)
     following = np.append(buf, np.uint8(0))
     for t in range(steps):
         k = live[t]
@@ -160,7 +177,7 @@ def segment(a: Automaton, buf: np.ndarray, starts: np.ndarray, ends: np.ndarray)
         char = np.where(b & 0xC0 != 0x80, t, char[:k])
         to = base[:k] + t + 1
         who, o = np.arange(k), a.output[state]
-        top, by, wide, single = np.full(k, -np.inf), np.full(k, -1, np.int32), np.zeros(k, np.int64), np.zeros(k, bool)
+        top, by, wide, single = np.full(k, -np.inf), np.full(k, -1, np.int32), np.zeros(k, np.int32), np.zeros(k, bool)
         while True:
             some = o > 0
             if not some.all():
@@ -184,38 +201,92 @@ def segment(a: Automaton, buf: np.ndarray, starts: np.ndarray, ends: np.ndarray)
             i = i[ok]
             top[i], by[i], wide[i] = cand[ok], -1, t + 1 - char[i]
         best[to], back[to], width[to] = top, by, wide
-    # Walk all best paths back at once, longest lanes first; unknown characters count their bytes.
-    at = n.copy()
-    lane, pieces, place = [], [], []
-    who = np.flatnonzero(at > 0)
+    return best, back, width, base
+
+
+def _joints(best: np.ndarray, width: np.ndarray, at: np.ndarray, n: np.ndarray, reach: int) -> np.ndarray:
+    """For pairs of overlapping windows, how far before the first one's end their paths are joined; -1 for nowhere.
+
+    at: (2, pairs) places in the tables of that end, in either window; n: bytes that both have before it.
+    From the last `reach` positions, which no piece leaps over, all best paths are walked
+    back in both windows until one position is left that is the same in both.
+    """
+    pairs, deep = at.shape[1], int(n.max(initial=0))
+    live = np.zeros((2, deep + 1, pairs), bool)
+    back = np.arange(min(reach, deep + 1))
+    for side in range(2):
+        spot = at[side] - back[:, None]
+        live[side, : len(back)] = np.where(back[:, None] <= n, best[np.maximum(spot, 0)] > -np.inf, False)
+    count = live.sum(axis=1)
+    joint, open_ = np.full(pairs, -1), np.ones(pairs, bool)
+    for q in range(deep + 1):
+        met = open_ & (count == 1).all(axis=0) & live[:, q].all(axis=0)
+        joint[met] = q
+        open_ &= ~met & (q < n)
+        if not open_.any():
+            break
+        for side in range(2):
+            i = np.flatnonzero(open_ & live[side, q])
+            to = q + width[at[side][i] - q]
+            open_[i[to > n[i]]] = False
+            i, to = i[to <= n[i]], to[to <= n[i]]
+            count[side][i] -= live[side, to, i]
+            live[side, to, i] = True
+    return joint
+
+
+def segment(a: Automaton, buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of each span of buf, and the n + 1 offsets of each span's ids."""
+    reach = int(a.size[a.piece[a.piece >= 0]].max(initial=4))
+    first, last, owner = _windows(buf, starts, ends, max(SHARED, 3 * reach))
+    order = np.argsort(first - last, kind="stable")
+    place = np.argsort(order)  # of a lane in falling order of size
+    s, n, owner = first[order], (last - first)[order], owner[order]
+    best, back, width, base = _forward(a, buf, s, n)
+    lo, hi = np.zeros(len(s), np.int64), n.copy()
+    slow: dict[int, np.ndarray] = {}
+    # Windows of one span follow each other in `first`.
+    y = np.flatnonzero(owner[place[1:]] == owner[place[:-1]]) + 1 if len(place) > 1 else np.zeros(0, np.int64)
+    if len(y):
+        x, y = place[y - 1], place[y]
+        both = s[x] + n[x] - s[y]
+        joint = _joints(best, width, np.stack([base[x] + n[x], base[y] + both]), both, reach)
+        hi[x] = n[x] - joint
+        lo[y] = both - joint
+        for i in np.unique(owner[x[joint < 0]]).tolist():
+            slow[i] = np.array(_segment_long(a, buf[starts[i] : ends[i]].tobytes()), np.int32)
+            lo[owner == i] = hi[owner == i] = 0
+    # Walk all best paths back at once; unknown characters count their bytes.
+    at = hi
+    lane, pieces, spot = [], [], []
+    who = np.flatnonzero(at > lo)
     while len(who):
-        spot = base[who] + at[who]
-        p, w = back[spot], width[spot]
+        here = base[who] + at[who]
+        p, w = back[here], width[here].astype(np.int64)
         at[who] -= w
         lane.append(who)
         pieces.append(p)
-        place.append(at[who].copy())
-        known = p < 0
-        if (known & (w > 1)).any():
-            multi = who[known & (w > 1)]
-            extra = w[known & (w > 1)] - 1
-            lane.append(np.repeat(multi, extra))
+        spot.append(at[who].copy())
+        multi = (p < 0) & (w > 1)
+        if multi.any():
+            extra = w[multi] - 1
+            lane.append(np.repeat(who[multi], extra))
             pieces.append(np.full(int(extra.sum()), -1, np.int32))
-            place.append(np.repeat(at[multi] + 1, extra) + tx.ragged(np.zeros(len(extra), np.int64), extra))
-        who = who[at[who] > 0]
-    lane, pieces, place = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (lane, pieces, place))
-    first = np.lexsort((place, lane))
-    lane, pieces, place = lane[first], pieces[first], place[first]
-    unknown = pieces < 0
-    ids = pieces.astype(np.int32)
-    ids[unknown] = a.byte_id[buf[s[lane[unknown]] + place[unknown]]]
-    counts = np.zeros(len(size), np.int64)
-    counts[lanes] = np.bincount(lane, minlength=len(lanes))
+            spot.append(np.repeat(at[who[multi]] + 1, extra) + tx.ragged(np.zeros(len(extra), np.int64), extra))
+        who = who[at[who] > lo[who]]
+    lane, pieces, spot = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (lane, pieces, spot))
+    spot = spot + s[lane]
+    by = np.lexsort((spot, owner[lane]))
+    lane, ids, spot = lane[by], pieces[by].astype(np.int32), spot[by]
+    unknown = ids < 0
+    ids[unknown] = a.byte_id[buf[spot[unknown]]]
+    counts = np.bincount(owner[lane], minlength=len(starts)).astype(np.int64)
+    fast = counts.copy()
     for i, x in slow.items():
         counts[i] = len(x)
     offs = np.concatenate([[0], np.cumsum(counts)])
     out = np.empty(offs[-1], np.int32)
-    out[tx.ragged(offs[lanes], counts[lanes])] = ids
+    out[tx.ragged(offs[:-1], fast)] = ids
     for i, x in slow.items():
         out[offs[i] : offs[i + 1]] = x
     return out, offs
@@ -304,8 +375,8 @@ def _digest_rows(batches: Iterator[pa.RecordBatch], model: bytes) -> Iterator[pa
             back, bo = decode(a, ids, at)
             same = [np.array_equal(raw[i:j], back[k:m]) for i, j, k, m in zip(offs[:-1], offs[1:], bo[:-1], bo[1:], strict=True)]
             crc = [zlib.crc32(ids[i:j].tobytes()) for i, j in zip(at[:-1], at[1:], strict=True)]
-            pieces = np.concatenate([[0], np.cumsum(a.score[ids])])
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.diff(at)), pa.array(crc, pa.int64()), pa.array(pieces[at[1:]] - pieces[at[:-1]]), pa.array(same, pa.bool_())], names=["doc_id", "n_tokens", "ids_crc32", "path_score", "round_trip"])
+            score = np.bincount(np.repeat(np.arange(len(at) - 1), np.diff(at)), weights=a.score[ids], minlength=len(at) - 1)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.diff(at)), pa.array(crc, pa.int64()), pa.array(score), pa.array(same, pa.bool_())], names=["doc_id", "n_tokens", "ids_crc32", "path_score", "round_trip"])
 
 
 def read_model(path: str) -> bytes:
