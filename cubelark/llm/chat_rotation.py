@@ -7,48 +7,79 @@ their role and bear none.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Turn numbers of one rendered example; longer dialogues give several, in blocks of turn numbers.
-BLOCK_TURNS = 256
+from .store import numbered, written
+
+#: Turns of one rendered row. A longer dialogue goes on in further rows (parts), as no row may grow with the data.
+PART_TURNS = 4096
 #: Fixed values of the rendered form.
 OPEN, CLOSE, SYSTEM = "<|im_start|>", "<|im_end|>", "system"
 
 
-def rotated(conversations: DataFrame, block_turns: int = BLOCK_TURNS) -> DataFrame:
-    """One row per dialogue block and participant in it.
+def escaped(text: Column) -> Column:
+    """Marks of the rendered form inside a text get a backslash after their first sign, those with backslashes one more."""
+    return F.regexp_replace(text, r"<(\\*)\|im_(start|end)\|>", r"<\\$1|im_$2|>")
+
+
+def _parts(turns: DataFrame, part_turns: int) -> tuple[DataFrame, DataFrame | None]:
+    """(conv_id, part, turn, role, text) of dialogues of one part, and the same of longer ones, if there are any."""
+    long = written(turns.groupBy("conv_id").count().where(F.col("count") > part_turns).select(F.col("conv_id").alias("_c")))
+    own = F.col("conv_id").eqNullSafe(F.col("_c"))
+    if long.isEmpty():
+        return turns.withColumn("part", F.lit(0).cast("long")), None
+    rest = numbered(turns.join(long, own, "left_semi"), ["conv_id", "turn", "role", "text"])
+    rest = rest.withColumn("part", F.floor(F.col("slot") / part_turns)).drop("slot")
+    return turns.join(long, own, "left_anti").withColumn("part", F.lit(0).cast("long")), rest
+
+
+def _blocks(turns: DataFrame) -> DataFrame:
+    return turns.groupBy("conv_id", "part").agg(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))).alias("turns"))
+
 
-    conv_id, block, part, perspective, n_turns, n_targets, text, and loss_spans: the
+def _views(turns: DataFrame, part_turns: int) -> DataFrame:
+    """(conv_id, part, turns, perspective), with every speaker of a dialogue in each of its parts."""
+    short, long = _parts(turns, part_turns)
+    speakers = F.array_distinct(F.filter(F.col("turns.role"), lambda r: r != SYSTEM))
+    views = _blocks(short).withColumn("perspective", F.explode(speakers))
+    if long is None:
+        return views
+    of = long.where(F.col("role") != SYSTEM).select(F.col("conv_id").alias("_c"), F.col("role").alias("perspective")).distinct()
+    more = _blocks(long).join(of, F.col("conv_id").eqNullSafe(F.col("_c"))).drop("_c")
+    return views.unionByName(more)
+
+
+def rotated(conversations: DataFrame, part_turns: int = PART_TURNS) -> DataFrame:
+    """One row per dialogue and participant.
+
+    conv_id, part, perspective, n_turns, n_targets, text, and loss_spans: the
     character ranges start:end of the perspective's own turns with their closing
     mark, joined by commas.
 
-    Turns are in order of number, then role, then text. Rows that repeat a turn
-    wholly count once. Null roles are the speaker `unknown`, null texts are empty,
-    null turn numbers are a block of their own (-1) and null conv_ids a dialogue. A block has at
-    most block_turns turn numbers; where repeated numbers give it more rows than
-    that, a hash of the rows deals them to further parts, so no group grows with
-    the data. A block of system turns alone has no participant and no row.
+    Turns are in order of number, then role, then text; null numbers come first. Rows that
+    repeat a turn wholly count once. Null roles are the speaker `unknown`, null
+    texts are empty, and all null conv_ids are one dialogue. A dialogue of more than
+    part_turns turns has a row for each part_turns of them in that order, part 0, 1
+    and so on, for every participant of the whole dialogue; the parts' texts one
+    after the other are the dialogue, and spans count from the part's start.
+    No task holds more than a part. A dialogue of system turns alone has no participant and no row.
+    Marks inside a text or a name are escaped (see `escaped`), line ends in a name become
+    spaces. Other columns are ignored. An empty table gives no rows.
     """
     turns = conversations.select(
-        "conv_id", F.coalesce(F.floor(F.col("turn") / block_turns), F.lit(-1)).cast("long").alias("block"), F.coalesce("turn", F.lit(-1)).cast("long").alias("turn"),
-        F.coalesce("role", F.lit("unknown")).alias("role"), F.coalesce("text", F.lit("")).alias("text"),
-    ).distinct()
-    sizes = turns.groupBy("conv_id", "block").count().where(F.col("count") > block_turns)
-    sizes = sizes.select(F.col("conv_id").alias("_c"), F.col("block").alias("_b"), F.ceil(F.col("count") / block_turns).alias("_parts"))
-    turns = turns.join(sizes, F.col("conv_id").eqNullSafe(F.col("_c")) & (F.col("block") == F.col("_b")), "left")
-    part = F.coalesce(F.pmod(F.xxhash64("turn", "role", "text"), F.col("_parts")), F.lit(0)).cast("long")
-    blocks = turns.withColumn("part", part).groupBy("conv_id", "block", "part").agg(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))).alias("turns"))
-    speakers = F.array_distinct(F.filter(F.col("turns.role"), lambda r: r != SYSTEM))
-    views = blocks.withColumn("perspective", F.explode(speakers))
+        "conv_id", F.col("turn").cast("long").alias("turn"), F.coalesce("role", F.lit("unknown")).alias("role"), F.coalesce("text", F.lit("")).alias("text")
+    ).distinct()
+    views = _views(turns, part_turns)
 
     own = lambda t: t["role"] == F.col("perspective")
-    head = lambda t: F.when(own(t), "assistant").when(t["role"] == SYSTEM, SYSTEM).otherwise(F.concat(F.lit("user name="), t["role"]))
-    views = views.withColumn("pieces", F.transform("turns", lambda t: F.struct(F.concat(F.lit(OPEN), head(t), F.lit("\n")).alias("head"), F.concat(t["text"], F.lit(CLOSE)).alias("body"), own(t).alias("own"))))
+    named = lambda t: F.concat(F.lit("user name="), escaped(F.regexp_replace(t["role"], r"[\r\n]", " ")))
+    head = lambda t: F.when(own(t), "assistant").when(t["role"] == SYSTEM, SYSTEM).otherwise(named(t))
+    views = views.withColumn("pieces", F.transform("turns", lambda t: F.struct(F.concat(F.lit(OPEN), head(t), F.lit("\n")).alias("head"), F.concat(escaped(t["text"]), F.lit(CLOSE)).alias("body"), own(t).alias("own"))))
     # (position, spans) runs over the pieces; "\n" ends each.
     start = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<string>").alias("spans"))
 
-    def step(acc, p):  # noqa: ANN001, ANN202
+    def step(acc: Column, p: Column) -> Column:
         begin = acc["at"] + F.length(p["head"])
         end = begin + F.length(p["body"])
         spans = F.when(p["own"], F.array_append(acc["spans"], F.concat(begin.cast("string"), F.lit(":"), end.cast("string")))).otherwise(acc["spans"])
@@ -57,4 +88,4 @@ def rotated(conversations: DataFrame, block_turns: int = BLOCK_TURNS) -> DataFra
     spans = F.array_join(F.aggregate("pieces", start, step)["spans"], ",")
     text = F.array_join(F.transform("pieces", lambda p: F.concat(p["head"], p["body"], F.lit("\n"))), "")
     targets = F.size(F.filter("pieces", lambda p: p["own"])).cast("long")
-    return views.select("conv_id", "block", "part", "perspective", F.size("turns").cast("long").alias("n_turns"), targets.alias("n_targets"), text.alias("text"), spans.alias("loss_spans"))
+    return views.select("conv_id", "part", "perspective", F.size("turns").cast("long").alias("n_turns"), targets.alias("n_targets"), text.alias("text"), spans.alias("loss_spans"))

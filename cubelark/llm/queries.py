@@ -37,7 +37,7 @@ def op1_quality_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_line_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = drop_recurring_lines(_table(spark, sf_dir, "documents"), shortest=1)
+    out = drop_recurring_lines(_table(spark, sf_dir, "documents"))
     text = F.coalesce("text", F.lit(""))
     return out.select("doc_id", F.col("_lines").alias("n_lines"), F.col("_dropped").alias("n_dropped"), F.sha2(text, 256).alias("text_sha256"))
 
@@ -89,18 +89,23 @@ with raw as (
 ), tokens as (
   select toks, size, lead, docs, unnest(toks) as token, unnest(range(len(toks))) as pos from once
 ), support as (
-  select size, lead, pos, token, sum(docs) as support from tokens where token <> '<*>' group by all
-), shapes as (
-  select t.toks, list(case when s.support >= 5 then t.token else '<*>' end order by t.pos) as template,
-    count(*) filter (where s.support >= 5) as constants, any_value(t.size) as size
+  select size, lead, pos, token, sum(docs) as support from tokens where token <> '<*>' group by all having sum(docs) >= 5
+), marked as (
+  select t.toks, t.size, t.pos, t.token, s.support, greatest(4, cast(ceil(0.5 * t.size) as bigint)) as least
   from tokens t left join support s on t.size = s.size and t.lead = s.lead and t.pos = s.pos and t.token = s.token
-  group by t.toks
+), floors as (
+  select toks, any_value(least) as least, (list(support order by support desc) filter (where support is not null)) as best from marked group by toks
+), shapes as (
+  select m.toks, list(case when m.support >= 0.5 * f.best[f.least] then m.token else '<*>' end order by m.pos) as template
+  from marked m join floors f using (toks) where len(f.best) >= f.least group by m.toks
 ), fit as (
-  select cand.doc_id, cand.line_no, template from cand join shapes using (toks) where constants >= 4 and 2 * constants >= shapes.size
+  select 5 as need, cand.doc_id, cand.line_no, template as kind from cand join shapes using (toks)
+  union all
+  select 2, doc_id, line_no, [line] from flat where line <> ''
 ), heads as (
-  select template, count(distinct doc_id) as docs, min({'d': doc_id, 'l': line_no}) as head from fit group by template having count(distinct doc_id) >= 5
+  select need, kind, min({'d': doc_id, 'l': line_no}) as head from fit group by need, kind having count(distinct doc_id) >= need
 ), gone as (
-  select fit.doc_id, fit.line_no from fit join heads using (template) where {'d': fit.doc_id, 'l': fit.line_no} <> head
+  select distinct fit.doc_id, fit.line_no from fit join heads using (need, kind) where {'d': fit.doc_id, 'l': fit.line_no} <> head
 ), kept as (
   select raw.doc_id, count(*) as n_lines, count(g.line_no) as n_dropped,
     string_agg(raw.raw, chr(10) order by raw.line_no) filter (where g.line_no is null) as text
@@ -112,28 +117,31 @@ OP2_SQL = LINES_CTE + "select doc_id, n_lines, n_dropped, sha256(coalesce(text,
 
 OP3_SQL = r"""
 with t as (
-  select distinct conv_id, cast(floor(turn / 256) as bigint) as block, cast(turn as bigint) as turn, role, text from conversations
+  select distinct conv_id, cast(turn as bigint) as turn, coalesce(role, 'unknown') as role, coalesce(text, '') as text from conversations
+), numbered as (
+  select *, (row_number() over (partition by conv_id order by turn nulls first, role, text) - 1) // 4096 as part from t
 ), views as (
-  select t.*, p.perspective from t join (select distinct conv_id, block, role as perspective from t where role <> 'system') p using (conv_id, block)
+  select n.*, p.perspective from numbered n join (select distinct conv_id, role as perspective from t where role <> 'system') p on n.conv_id is not distinct from p.conv_id
 ), pieces as (
   select *, role = perspective as own,
-    '<|im_start|>' || case when role = perspective then 'assistant' when role = 'system' then 'system' else 'user name=' || role end || chr(10) as head,
-    text || '<|im_end|>' as body
+    '<|im_start|>' || case when role = perspective then 'assistant' when role = 'system' then 'system'
+      else 'user name=' || regexp_replace(regexp_replace(role, '[\r\n]', ' ', 'g'), '<(\\*)\|im_(start|end)\|>', '<\\\1|im_\2|>', 'g') end || chr(10) as head,
+    regexp_replace(text, '<(\\*)\|im_(start|end)\|>', '<\\\1|im_\2|>', 'g') || '<|im_end|>' as body
   from views
 ), placed as (
-  select *, coalesce(sum(length(head) + length(body) + 1) over (partition by conv_id, block, perspective order by turn, role, text
+  select *, coalesce(sum(length(head) + length(body) + 1) over (partition by conv_id, part, perspective order by turn nulls first, role, text
     rows between unbounded preceding and 1 preceding), 0) as begin_at from pieces
 )
-select conv_id, block, cast(0 as bigint) as part, perspective, count(*) as n_turns, count(*) filter (where own) as n_targets,
-  string_agg(head || body || chr(10), '' order by turn, role, text) as text,
-  string_agg(cast(cast(begin_at + length(head) as bigint) as varchar) || ':' || cast(cast(begin_at + length(head) + length(body) as bigint) as varchar), ',' order by begin_at) filter (where own) as loss_spans
-from placed group by conv_id, block, perspective
+select conv_id, cast(part as bigint) as part, perspective, count(*) as n_turns, count(*) filter (where own) as n_targets,
+  string_agg(head || body || chr(10), '' order by turn nulls first, role, text) as text,
+  coalesce(string_agg(cast(cast(begin_at + length(head) as bigint) as varchar) || ':' || cast(cast(begin_at + length(head) + length(body) as bigint) as varchar), ',' order by begin_at) filter (where own), '') as loss_spans
+from placed group by conv_id, part, perspective
 """
 
 OP4_SQL = (
     """
 with templates as (select * from (values """
-    + ", ".join(f"('{k}', '{v}')" for k, v in TEMPLATES.items())
+    + ", ".join("('{}', '{}')".format(k, v.replace("'", "''")) for k, v in sorted(TEMPLATES.items()))
     + r""") v(license_id, text)
 ), words as (
   select 'd' as kind, doc_id, null as license_id, string_split(trim(regexp_replace(lower(text), '[^\p{L}\p{N}]+', ' ', 'g'), ' '), ' ') as w from documents where text is not null
@@ -150,9 +158,17 @@ with templates as (select * from (values """
   from shingles d join target t on d.s = t.s join size on size.license_id = t.license_id where d.kind = 'd'
 ), shares as (
   select doc_id, license_id, j * n as start, count(distinct s) / any_value(distinct_n) as containment from hits where j >= 0 group by doc_id, license_id, j, n
+), brief as (
+  select license_id, len(w) as k, array_to_string(w, ' ') as s from words where kind = 't' and len(w) < 5 and w <> ['']
+), runs as (
+  select doc_id, k, i as pos, array_to_string(w[i + 1 : i + k], ' ') as s from (select doc_id, w, k, unnest(range(len(w) - k + 1)) as i from words, (select distinct k from brief) where kind = 'd' and len(w) >= k)
+), found as (
+  select * from shares where containment >= 0.8
+  union all
+  select doc_id, license_id, greatest(min(pos) - 1, 0), 1.0 from runs join brief using (k, s) group by doc_id, license_id
 )
 select doc_id, license_id, round(max(containment), 6) as containment, cast(arg_max(start, {'c': containment, 's': -start}) as bigint) as start
-from shares where containment >= 0.8 group by doc_id, license_id
+from found group by doc_id, license_id
 """
 )
 

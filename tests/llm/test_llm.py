@@ -147,7 +147,7 @@ def test_line_templates_keep_the_first_and_generalise_fields(spark):
     logs = [f"user login from host {'abcdefgh'[i]} at node {i} ended well" for i in range(8)]
     texts = [f"{own[i]}\n{logs[i]}\nshort line" for i in range(8)] + ODD
     df = frame(spark, texts, EXTRA)
-    got = {r["doc_id"]: r for r in drop_recurring_lines(df).collect()}
+    got = {r["doc_id"]: r for r in drop_recurring_lines(df, shortest=4).collect()}
     assert got[0]["text"] == texts[0] and got[0]["_dropped"] == 0
     assert all(got[i]["text"] == f"{own[i]}\nshort line" and got[i]["_dropped"] == 1 for i in range(1, 8))
     assert all(got[8 + i]["text"] == t for i, t in enumerate(ODD))
@@ -168,7 +168,7 @@ def test_unchanged_lines_recur_in_two_documents_however_short(spark):
     rng = random.Random(13)
     own = [words(rng, 12) for _ in range(4)]
     texts = [f"{own[0]}\nAll rights reserved.\n\na line of several plain words", f"All  rights reserved.\n{own[1]}\n\na line of  several plain words", f"{own[2]}\nVersion 2 released", f"{own[3]}\nVersion 3 released\nonce\nonce"]
-    got = {r["doc_id"]: (r["text"], r["_dropped"]) for r in drop_recurring_lines(frame(spark, texts, EXTRA), shortest=1).collect()}
+    got = {r["doc_id"]: (r["text"], r["_dropped"]) for r in drop_recurring_lines(frame(spark, texts, EXTRA)).collect()}
     assert got == {0: (texts[0], 0), 1: (f"{own[1]}\n", 2), 2: (texts[2], 0), 3: (texts[3], 0)}
 
 
@@ -211,7 +211,7 @@ def test_banded_alignment_is_an_edit_distance():
         b = "".join(rng.choice("ab") for _ in range(rng.randint(5, 30)))
         got = banded(a.encode(), b.encode(), len(a), len(a) + len(b))
         assert got is not None and got[0] == brute(a, b)
-    assert len(Index([(0, b"x" * (SHORTEST - 1))], 96, 0.1).item) == 0
+    assert len(Index([(0, b"x" * (SHORTEST - 1))], 96, 0.1).item) == 0 and len(Index([(0, b"x")], 96, 0.1).short) == 1
     assert folded(["A--b  É"])[0].tobytes().decode() == " a b é "
 
 
@@ -343,8 +343,8 @@ def test_kd_shards_balance_bytes(spark):
 
 def test_rotation_renders_each_speaker_as_assistant(spark):
     rows = [(1, 0, "system", "be kind"), (1, 1, "ann", "hi"), (1, 2, "bob", "ho"), (1, 2, "bob", "ho"), (2, 0, "system", "x"), (3, None, None, None), (4, 300, "ann", "late"), (4, 0, "ann", "")]
-    got = {(r["conv_id"], r["block"], r["perspective"]): r for r in rotated(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()}
-    assert set(got) == {(1, 0, "ann"), (1, 0, "bob"), (3, -1, "unknown"), (4, 0, "ann"), (4, 1, "ann")}
+    got = {(r["conv_id"], r["part"], r["perspective"]): r for r in rotated(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()}
+    assert set(got) == {(1, 0, "ann"), (1, 0, "bob"), (3, 0, "unknown"), (4, 0, "ann")}
     r = got[1, 0, "bob"]
     assert r["text"] == "<|im_start|>system\nbe kind<|im_end|>\n<|im_start|>user name=ann\nhi<|im_end|>\n<|im_start|>assistant\nho<|im_end|>\n"
     begin, end = map(int, r["loss_spans"].split(":"))
