@@ -1,4 +1,7 @@
-"""python -m cubelark q7 DIR NATION NATION | q8 DIR NATION REGION TYPE | build DIR CUBE | browser DIR [CUBE] | walk DIR N | validator DIR TARGET"""
+"""python -m cubelark COMMAND
+
+q7 DIR NATION NATION | q8 DIR NATION REGION TYPE | build DIR CUBE | browser DIR [CUBE] | operations DIR N [SEED] | parameter-set | validator DIR TARGET | generate SCALE TARGET
+"""
 
 from __future__ import annotations
 
@@ -6,11 +9,12 @@ import sys
 import time
 
 from .cube.engine import build
+from .cube.model import cuboid_name, cuboids
 from .cube.shell import Shell, random_walk
 from .plans.shipping import q7, q8
 from .session import session
-from .sources.sinks import dump_csv, report
-from .sources.tables import table
+from .sources.generator import generated
+from .sources.sinks import dump_all, report
 
 
 def main(args: list[str]) -> int:
@@ -24,13 +28,18 @@ def main(args: list[str]) -> int:
             build(spark, sf_dir, path)
         case ["browser", sf_dir, *path]:
             Shell(spark, sf_dir, *path).loop()
-        case ["walk", sf_dir, steps]:
+        case ["operations" | "walk", sf_dir, steps, *seed]:
             shell = Shell(spark, sf_dir)
-            for command in random_walk(int(steps), 0):
+            for command in random_walk(int(steps), *map(int, seed)):
                 print(f"> {command}\n{shell.execute(command)}")
+        case ["parameter-set"]:
+            for levels in cuboids():
+                print(cuboid_name(levels))
         case ["validator", sf_dir, target]:
-            for name in ("region", "nation", "supplier", "customer", "part", "orders", "lineitem"):
-                dump_csv(table(spark, sf_dir, name), f"{target}/{name}")
+            dump_all(spark, sf_dir, target)
+        case ["generate", scale, target]:
+            for name, df in generated(spark, float(scale)).items():
+                df.write.mode("overwrite").parquet(f"{target}/{name}.parquet")
         case _:
             print(__doc__)
             return 2

@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.relational import volume
 from ..sources.tables import table
-from .model import BY_NAME, DIMENSIONS, LEVELS, CubeView, cuboid_name, cuboids, is_stored
+from .model import BY_NAME, DIMENSIONS, LEVELS, STORED_PREFIX, CubeView, cuboid_name, cuboids, is_stored
 
 SUM = "decimal(38,4)"
 
@@ -35,39 +35,58 @@ def aggregate(df: DataFrame, levels: tuple[str, ...]) -> DataFrame:
     return df.groupBy(*levels).agg(*_measures(df))
 
 
+def _held(group: list[tuple[str, ...]]) -> list[str]:
+    """The finest levels of a group of cuboids and all coarser ones; those follow from them and make no more rows."""
+    used = {x for w in group for x in w}
+    return sorted(y.name for d in DIMENSIONS for y in d.levels if any(x in used and d.index(y.name) <= d.index(x) for x in (z.name for z in d.levels)))
+
+
 def all_cuboids(base: DataFrame, wanted: list[tuple[str, ...]]) -> DataFrame:
     """Several cuboids in one table: `cuboid` names each row's, levels outside it are null.
 
-    Sums and counts can be summed again. So facts are first reduced to the finest
-    wanted levels without product and to those with it, and each reduced table is
-    expanded into its own grouping sets, which keeps the expansion small.
+    Facts are read once. Sums and counts can be summed again, so one aggregation
+    first reduces them to the finest wanted levels without product and to those with it;
+    then each reduced row goes to its own cuboids, which keeps the expansion small.
     """
-    names, parts = list(LEVELS), []
-    for with_product in (False, True):
-        group = [w for w in wanted if ("product_id" in w) == with_product]
-        if not group:
-            continue
-        finest = sorted({max((x for w in group for x in w if x in {y.name for y in d.levels}), key=d.index) for d in DIMENSIONS if any(x in {y.name for y in d.levels} for w in group for x in w)})
-        # Coarser levels follow from the finest ones, so grouping by all of them makes no more rows.
-        held = sorted({y.name for d in DIMENSIONS for x in finest for y in d.levels if x in {z.name for z in d.levels} and d.index(y.name) <= d.index(x)})
-        reduced = aggregate(base, tuple(held))
-        sets = reduced.groupingSets([[F.col(x) for x in w] for w in group], *[F.col(x) for x in held])
-        kind = reduce(lambda a, x: F.concat(a, F.when(F.grouping(x) == 0, F.lit(f"__{x}")).otherwise(F.lit(""))), held, F.lit(""))
-        out = sets.agg(*_measures(reduced), kind.alias("_kind"))
-        label = F.when(F.col("_kind") == "", "all").otherwise(F.substring("_kind", 3, 1000))
-        parts.append(out.select(label.alias("cuboid"), *[F.col(x) if x in held else F.lit(None).cast(LEVELS[x].kind).alias(x) for x in names], "sum_volume", "count_volume"))
-    return reduce(DataFrame.unionByName, parts)
+    groups = [g for g in ([w for w in wanted if ("product_id" in w) == with_product] for with_product in (False, True)) if g]
+    sets = [_held(g) for g in groups]
+    every = sorted({x for held in sets for x in held})
+    if len(sets) == 1:
+        reduced = aggregate(base, tuple(every)).withColumn("_of", F.lit(0))
+    else:
+        reduced = base.groupingSets([[F.col(x) for x in held] for held in sets], *[F.col(x) for x in every]).agg(*_measures(base), (1 - F.grouping("product_id")).cast("int").alias("_of"))
+
+    def row(w: tuple[str, ...]) -> Column:
+        return F.struct(F.lit("__".join(w) or "all").alias("cuboid"), *[(F.col(x) if x in w else F.lit(None).cast(k.kind)).alias(x) for x, k in LEVELS.items()])
+
+    rows = F.when(F.col("_of") == 0, F.array(*map(row, groups[0]))).otherwise(F.array(*map(row, groups[-1])))
+    cells = reduced.select(F.inline(rows), "sum_volume", "count_volume")
+    return cells.groupBy("cuboid", *LEVELS).agg(*_measures(cells)).select("cuboid", *LEVELS, "sum_volume", "count_volume")
 
 
 def build(spark: SparkSession, sf_dir: str, path: str) -> None:
-    """Write all stored cuboids, a folder for each, in one pass over the facts."""
+    """Write all stored cuboids, a folder named by `cuboid_name` for each, in one pass over the facts."""
     stored = [c for c in cuboids() if is_stored(c)]
-    all_cuboids(facts(spark, sf_dir), stored).write.mode("overwrite").partitionBy("cuboid").parquet(path)
+    rows = all_cuboids(facts(spark, sf_dir), stored)
+    named = rows.withColumn("cuboid", F.concat(F.lit(STORED_PREFIX), "cuboid"))
+    named.write.mode("overwrite").partitionBy("cuboid").parquet(path)
 
 
 def stored_cuboid(spark: SparkSession, path: str, levels: tuple[str, ...]) -> DataFrame:
-    name = "__".join(sorted(levels)) or "all"
-    return spark.read.parquet(path).where(F.col("cuboid") == name).select(*levels, "sum_volume", "count_volume")
+    """One stored cuboid; only its own folder is read."""
+    return spark.read.parquet(path).where(F.col("cuboid") == cuboid_name(levels)).select(*levels, "sum_volume", "count_volume")
+
+
+def storage(spark: SparkSession, sf_dir: str, path: str) -> DataFrame:
+    """Rows and bytes of files of each stored cuboid, and bytes of the base tables under the name `base`."""
+    listed = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.parquet")
+    files = listed.load(path).select(F.regexp_extract("path", "cuboid=([^/]*)/", 1).alias("cuboid"), "length")
+    sizes = files.groupBy("cuboid").agg(F.sum("length").alias("n_bytes"))
+    rows = spark.read.parquet(path).groupBy("cuboid").agg(F.count("*").alias("n_rows"))
+    names = ("nation", "customer", "orders", "lineitem")
+    base = reduce(DataFrame.union, [table(spark, sf_dir, n).select(F.lit(1).alias("x")) for n in names]).agg(F.lit("base").alias("cuboid"), F.count("*").alias("n_rows"))
+    held = reduce(DataFrame.union, [listed.load(f"{sf_dir}/{n}.parquet").select("length") for n in names]).agg(F.sum("length").alias("n_bytes"))
+    return rows.join(sizes, "cuboid").select("cuboid", "n_rows", "n_bytes").union(base.crossJoin(held))  # one row each
 
 
 def merge_delta(stored: DataFrame, delta: DataFrame) -> DataFrame:
@@ -123,4 +142,4 @@ def averages(spark: SparkSession, sf_dir: str, wanted: list[tuple[str, ...]]) ->
     return rows.withColumn("avg_volume", F.col("sum_volume").cast("double") / F.col("count_volume")).drop("count_volume")
 
 
-__all__ = ["BY_NAME", "aggregate", "all_cuboids", "averages", "build", "cuboid_name", "facts", "merge_delta", "query", "statistics", "stored_cuboid"]
+__all__ = ["BY_NAME", "aggregate", "all_cuboids", "averages", "build", "cuboid_name", "facts", "merge_delta", "query", "statistics", "storage", "stored_cuboid"]

@@ -51,8 +51,12 @@ def is_stored(levels: tuple[str, ...]) -> bool:
     return not ("product_id" in levels and ("o_yearmonth" in levels or "o_date" in levels))
 
 
+#: What names of stored cuboids, and of those made on the fly, begin with.
+STORED_PREFIX, VIRTUAL_PREFIX = "cube_results_T__", "cube_results_V__"
+
+
 def cuboid_name(levels: tuple[str, ...]) -> str:
-    return f"cube_results_{'T' if is_stored(levels) else 'V'}__" + ("__".join(sorted(levels)) or "all")
+    return (STORED_PREFIX if is_stored(levels) else VIRTUAL_PREFIX) + ("__".join(sorted(levels)) or "all")
 
 
 class CubeError(ValueError):
@@ -64,16 +68,36 @@ def typed(level: str, value: object) -> object:
     return dt.date.fromisoformat(str(value)) if kind == "date" else int(str(value))
 
 
-def _carried(old: str, new: str, bounds: tuple) -> tuple | None:
-    """A range of one time level on a coarser one; None if it has no such meaning."""
+def _month(value: int) -> tuple[dt.date, dt.date]:
+    """First and last day of a month yyyymm."""
+    first = dt.date(value // 100, value % 100, 1)
+    return first, (first + dt.timedelta(days=31)).replace(day=1) - dt.timedelta(days=1)
+
+
+def _carried(old: str, new: str, bounds: tuple, regions: Mapping[int, int] | None) -> tuple | None:
+    """A range of one level on the next coarser or finer one of its dimension; None if it has no such meaning there.
+
+    A coarser range covers all that the finer one does. Nations and regions need `regions`,
+    each nation's region; a region whose nations are no range of numbers has no range of nations.
+    """
     lo, hi = bounds
-    if old == "o_date":
-        lo, hi = lo.year * 100 + lo.month, hi.year * 100 + hi.month
-        old = "o_yearmonth"
-    if old == "o_yearmonth" and new == "o_year":
-        lo, hi = lo // 100, hi // 100
-        old = "o_year"
-    return (lo, hi) if old == new else None
+    match old, new:
+        case "o_date", "o_yearmonth":
+            return lo.year * 100 + lo.month, hi.year * 100 + hi.month
+        case "o_yearmonth", "o_year":
+            return lo // 100, hi // 100
+        case "o_year", "o_yearmonth":
+            return lo * 100 + 1, hi * 100 + 12
+        case "o_yearmonth", "o_date":
+            return _month(lo)[0], _month(hi)[1]
+        case ("c_nation_id", "c_region_id") if regions:
+            found = [r for n, r in regions.items() if lo <= n <= hi]
+            return (min(found), max(found)) if found else None
+        case ("c_region_id", "c_nation_id") if regions:
+            found = sorted(n for n, r in regions.items() if lo <= r <= hi)
+            whole = found and found == [n for n in sorted(regions) if found[0] <= n <= found[-1]]
+            return (found[0], found[-1]) if whole else None
+    return None
 
 
 @dataclass(frozen=True)
@@ -87,28 +111,28 @@ class CubeView:
     def columns(self) -> tuple[str, ...]:
         return tuple(sorted(self.levels.values()))
 
-    def _moved(self, dim: str, level: str | None, carry: bool) -> CubeView:
+    def _moved(self, dim: str, level: str | None, carry: bool, regions: Mapping[int, int] | None) -> CubeView:
         levels = {d: x for d, x in self.levels.items() if d != dim} | ({dim: level} if level else {})
         ranges = {d: r for d, r in self.ranges.items() if d != dim}
-        if carry and level and dim in self.ranges and (kept := _carried(self.levels[dim], level, self.ranges[dim])):
+        if carry and level and dim in self.ranges and (kept := _carried(self.levels[dim], level, self.ranges[dim], regions)):
             ranges[dim] = kept
         return CubeView(levels, ranges)
 
-    def drill_down(self, dim: str, carry_selection: bool = False) -> CubeView:
-        """One level finer; the dimension's range is dropped."""
+    def drill_down(self, dim: str, carry_selection: bool = False, regions: Mapping[int, int] | None = None) -> CubeView:
+        """One level finer; the dimension's range is dropped unless carried."""
         d = _dimension(dim)
         at = d.index(self.levels[dim]) + 1 if dim in self.levels else 0
         if at == len(d.levels):
             raise CubeError(f"{dim} is at its finest level")
-        return self._moved(dim, d.levels[at].name, carry_selection)
+        return self._moved(dim, d.levels[at].name, carry_selection, regions)
 
-    def roll_up(self, dim: str, carry_selection: bool = False) -> CubeView:
+    def roll_up(self, dim: str, carry_selection: bool = False, regions: Mapping[int, int] | None = None) -> CubeView:
         """One level coarser; from the coarsest the dimension goes. Its range is dropped unless carried."""
         d = _dimension(dim)
         if dim not in self.levels:
             raise CubeError(f"{dim} is not in the view")
         at = d.index(self.levels[dim]) - 1
-        return self._moved(dim, d.levels[at].name if at >= 0 else None, carry_selection)
+        return self._moved(dim, d.levels[at].name if at >= 0 else None, carry_selection, regions)
 
     def slice(self, dim: str, value: object) -> CubeView:
         return self.dice({dim: (value, value)})

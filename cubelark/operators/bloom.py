@@ -7,11 +7,15 @@ join that follows decides.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Fixed values of the hash: factor, summand, and the default number of bits (a prime); other primes in use are 11447 and 31567.
 FACTOR, SUMMAND, BITS = 107, 1009, 99881
+#: Bits for each key that a join's vector holds, and the most bits of a vector (16 MB), which bounds what is broadcast.
+KEY_BITS, MOST_BITS = 16, 1 << 27
 
 
 def bloom_hash(key: Column, bits: int = BITS) -> Column:
@@ -50,7 +54,22 @@ def probe(df: DataFrame, key: str, vector: DataFrame, bits: int = BITS, where: C
     return both.where(hit).drop("_bucket", "_bit", "_b", "_m")
 
 
-def bloom_join(big: DataFrame, big_key: str, small: DataFrame, small_key: str, bits: int = BITS, where: Column | None = None) -> DataFrame:
-    """Inner join; `small` is first reduced to the rows that may have a partner in `big`."""
-    reduced = probe(small, small_key, build_bits(big, big_key, bits), bits, where)
-    return big.join(reduced, F.col(big_key) == F.col(small_key))
+def bits_for(keys: int) -> int:
+    """The least prime of KEY_BITS bits a key, neither below BITS nor above MOST_BITS."""
+    n = min(max(BITS, keys * KEY_BITS) | 1, MOST_BITS - 1)
+    while any(n % d == 0 for d in range(3, math.isqrt(n) + 1, 2)):
+        n += 2 if n < MOST_BITS - 1000 else -2
+    return n
+
+
+def bloom_join(big: DataFrame, big_key: str, small: DataFrame, small_key: str, bits: int | None = None, where: Column | None = None) -> DataFrame:
+    """Inner join; `big` is first reduced to the rows that may have a partner in `small`, where it is scanned.
+
+    The vector comes from the filtered `small` side, whose keys are counted to choose
+    its length. With more keys than the longest vector can tell apart it
+    lets more through, and the join decides all the same.
+    """
+    small = small if where is None else small.filter(where)
+    bits = bits or bits_for(small.count())
+    reduced = probe(big, big_key, build_bits(small, small_key, bits), bits)
+    return reduced.join(small, F.col(big_key) == F.col(small_key))

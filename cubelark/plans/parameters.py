@@ -12,6 +12,8 @@ SEGMENTS = ("AUTOMOBILE", "BUILDING", "FURNITURE", "MACHINERY", "HOUSEHOLD")
 REGIONS = ("AFRICA", "AMERICA", "ASIA", "EUROPE", "MIDDLE EAST")
 TYPES = ("PROMO", "ECONOMY", "MEDIUM", "SMALL", "STANDARD", "LARGE")
 MODES = ("REG AIR", "AIR", "RAIL", "SHIP", "TRUCK", "MAIL", "FOB")
+NAME_WORDS = ("small", "large", "red", "blue", "hot", "cold", "old", "new")
+COMMENT_WORDS = (("special", "pending", "unusual", "express"), ("packages", "requests", "accounts", "deposits"))
 
 
 def draw(name: str, seed: int) -> dict[str, object]:
@@ -31,23 +33,42 @@ def draw(name: str, seed: int) -> dict[str, object]:
         "q6": {"start": january, "discount": f"0.0{rng.randint(2, 9)}", "quantity": rng.randint(24, 25)},
         "q7": {"one": nations[0], "two": nations[1]},
         "q8": {"nation": nations[0], "region": REGIONS[int(nations[0][7:]) % 5], "type": rng.choice(TYPES)},
+        "q9": {"word": rng.choice(NAME_WORDS)},
         "q10": {"start": month},
         "q11": {"nation": nations[0]},
         "q12": dict(zip(("mode1", "mode2"), rng.sample(MODES, 2), strict=True)) | {"start": january},
+        "q13": {"word1": rng.choice(COMMENT_WORDS[0]), "word2": rng.choice(COMMENT_WORDS[1])},
         "q14": {"start": month},
         "q15": {"start": month},
+        "q16": {"brand": f"Brand#{rng.randint(1, 25)}", "type": rng.choice(TYPES)} | {f"s{i}": size for i, size in enumerate(rng.sample(range(1, 51), 8), 1)},
         "q17": {"brand": f"Brand#{rng.randint(1, 25)}"},
         "q18": {"quantity": rng.randint(240, 315)},
         "q19": {"q1": rng.randint(1, 10), "q2": rng.randint(10, 20), "q3": rng.randint(20, 30)} | {f"brand{i}": f"Brand#{rng.randint(1, 25)}" for i in (1, 2, 3)},
-        "q20": {"nation": nations[0], "start": january},
+        "q20": {"word": rng.choice(NAME_WORDS), "nation": nations[0], "start": january},
         "q21": {"nation": nations[0]},
         "q22": {f"c{i}": str(c) for i, c in enumerate(rng.sample(range(10, 35), 7), 1)},
     }
     return out | rules.get(base, {})
 
 
-def stream(number: int) -> list[str]:
-    """The order of the 22 queries in a stream: stream 0 is 1..22, others a permutation by their number."""
+def read_streams(path: str) -> list[list[str]]:
+    """Query orders from a text file, one permutation of 1 to 22 a line, as the generator's kit lists them."""
+    with open(path) as f:
+        orders = [[int(x) for x in line.replace(",", " ").split()] for line in f if line.strip()]
+    for order in orders:
+        if sorted(order) != list(range(1, 23)):
+            raise ValueError(f"not a permutation of 1 to 22: {order}")
+    return [[f"q{i}" for i in order] for order in orders]
+
+
+def stream(number: int, orders: list[list[str]] | None = None) -> list[str]:
+    """The order of the 22 queries in a stream.
+
+    With `orders` (see `read_streams`) streams go round in them. Without, stream 0 is
+    1 to 22 and each other one a permutation drawn by its number.
+    """
+    if orders:
+        return orders[number % len(orders)]
     order = [f"q{i}" for i in range(1, 23)]
     if number:
         random.Random(number).shuffle(order)

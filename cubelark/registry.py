@@ -3,22 +3,28 @@
 from __future__ import annotations
 
 import datetime as dt
+import uuid
 from collections.abc import Callable
 from functools import partial
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .cube import engine as cube
-from .cube.model import LEVELS, CubeView, History, cuboids, is_stored
+from .cube.model import LEVELS, CubeView, History, cuboid_name, cuboids, is_stored
+from .cube.shell import Shell, random_walk
+from .functions import strings
 from .functions.dates import recode, year, year_month, year_prefix
 from .operators import bloom
 from .operators.predicates import Predicate, all_of, any_of
 from .operators.relational import group_sum, join, project, share, volume, with_labels
 from .plans.catalogue import PORTABLE, QUERIES
 from .plans.shipping import q7, q8
-from .sources.sinks import formatted
-from .sources.tables import numbers, partition_of, refresh_delete, refresh_insert, table
+from .schemas import SCHEMAS
+from .sources.generator import generated, refresh_set
+from .sources.sinks import dump_all, formatted, report, write_result
+from .sources.tables import load_tables, numbers, partition_of, read_tbl, recreate_table, refresh_delete, refresh_insert, run_script, scratch, table, write_tbl
 
 Query = Callable[[SparkSession, str], DataFrame]
 MADE: dict[str, tuple[Query, str | None]] = {}
@@ -197,6 +203,131 @@ def validator_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out
 
 
+@_query("select l_orderkey, l_linenumber from lineitem where l_returnflag <> 'N' and l_linestatus <> 'F'")
+def op_filter_not_equal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    where = any_of(all_of(Predicate("l_returnflag", "!=", "N"), Predicate("l_linestatus", "!=", "F")))
+    return table(spark, sf_dir, "lineitem").where(where).select("l_orderkey", "l_linenumber")
+
+
+@_query("select s_suppkey from supplier")
+def op_filter_empty(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "supplier").where(any_of()).select("s_suppkey")
+
+
+@_query("select o_orderkey from orders where cast(o_orderdate as date) >= date '1996-01-01' and cast(o_orderdate as date) < date '1996-02-01'")
+def op_filter_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    orders = table(spark, sf_dir, "orders").withColumn("o_orderdate", F.col("o_orderdate").cast("date"))
+    return orders.where(any_of(all_of(Predicate("o_orderdate", ">=", "1996-01-01", "date"), Predicate("o_orderdate", "<", "1996-02-01", "date")))).select("o_orderkey")
+
+
+@_query("select true as filter_refused, true as projection_refused")
+def op_unknown_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether a filter on, and a projection to, a column that isn't there are refused."""
+    nation, refused = table(spark, sf_dir, "nation"), []
+    for use in (lambda: nation.where(Predicate("n_nope", "=", "x").to_column()).schema, lambda: project(nation, ["n_nope"])):
+        try:
+            use()
+            refused.append(False)
+        except (AnalysisException, ValueError):
+            refused.append(True)
+    return spark.range(1).select(F.lit(refused[0]).alias("filter_refused"), F.lit(refused[1]).alias("projection_refused"))
+
+
+@_query("select p_partkey, cast(length(p_name) as bigint) as n_chars, case when length(p_name) >= 2 then substr(p_name, 1, 1) || '__' || substr(p_name, 5) else p_name end as changed from part")
+def op_text_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "part").select("p_partkey", strings.length(F.col("p_name")).alias("n_chars"), strings.insert(F.col("p_name"), 2, 3, "__").alias("changed"))
+
+
+@_query("select cast(count(distinct (l_partkey * 107 + 1009) % 99881) as bigint) as bits_set from lineitem")
+def bloom_bits_lineitem(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bloom.bits_set(bloom.build_bits(table(spark, sf_dir, "lineitem"), "l_partkey"))
+
+
+@_query("select cast(k as bigint) as k from (values (0), (44797), (58799), (99881)) t(k)")
+def bloom_hash_ends(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Keys whose hash is the first and the last bit pass their own vector."""
+    keys = spark.createDataFrame([(0,), (44797,), (58799,), (99881,)], "k long")
+    return bloom.probe(keys, "k", bloom.or_bits(bloom.build_bits(keys.where("k < 50000"), "k"), bloom.build_bits(keys, "k")))
+
+
+@_query("select r_regionkey, r_name from region")
+def source_tbl_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch(spark, "region.tbl")
+    write_tbl(table(spark, sf_dir, "region").select("r_regionkey", "r_name", F.lit("none").alias("r_comment")), path)
+    return read_tbl(spark, path, SCHEMAS["region"]).select("r_regionkey", "r_name")
+
+
+@_query("select n_nationkey, n_name, n_regionkey from nation")
+def source_bulk_load(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A `.tbl` file loaded twice: the second load replaces the first."""
+    path = scratch(spark, "nation.tbl")
+    write_tbl(table(spark, sf_dir, "nation").select("n_nationkey", "n_name", "n_regionkey", F.lit("none").alias("n_comment")), path)
+    for _ in range(2):
+        load_tables(spark, {"nation": path}, scratch(spark, "loaded"))
+    return table(spark, scratch(spark, "loaded"), "nation").select("n_nationkey", "n_name", "n_regionkey")
+
+
+@_query("select s_suppkey, s_name from supplier where s_nationkey < 5")
+def source_recreate_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    name, supplier = f"cubelark_{uuid.uuid4().hex}", table(spark, sf_dir, "supplier")
+    recreate_table(supplier.limit(3), name)
+    recreate_table(supplier.where("s_nationkey < 5").select("s_suppkey", "s_name"), name)
+    return spark.table(name)
+
+
+@_query("select 'a;b' as t, cast(3 as bigint) as n, 7 as v")
+def source_script(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Statements with a quoted separator, and a session variable."""
+    script = """
+create or replace temporary view cubelark_script as select 'a;b' as t, count(*) as n from range(3); -- no; end here
+declare or replace variable cubelark_seven int default 5;
+set variable cubelark_seven = cubelark_seven + 2;"""
+    run_script(spark, script)
+    return spark.sql("select t, n, cubelark_seven as v from cubelark_script")
+
+
+@_query("select n_nationkey, n_name from nation where n_regionkey = 1")
+def sink_result_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A result written as one text file over an older one, and read back."""
+    path, nation = scratch(spark, "result"), table(spark, sf_dir, "nation")
+    for rows in (nation, nation.where("n_regionkey = 1")):
+        write_result(rows.select("n_nationkey", "n_name"), path)
+    return spark.read.schema("n_nationkey bigint, n_name string").option("sep", "|").csv(path)
+
+
+@_query(
+    " union all ".join(f"select '{t}' as name, count(*) as n_rows, count(*) as n_quoted from {t}" for t in _ALL)
+    + " union all select 'partsupp', 4 * count(*), 4 * count(*) from part"
+)
+def sink_quoted_dump(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of the dumps of all eight tables, and those that begin and end with a quote."""
+    path = scratch(spark, "dump")
+    parts = [spark.read.text(f"{path}/{name}").agg(F.lit(name).alias("name"), F.count("*").alias("n_rows"), F.count_if(F.col("value").rlike('^".*"$')).alias("n_quoted")) for name in dump_all(spark, sf_dir, path)]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.union(p)
+    return out
+
+
+@_query("select 'r_regionkey|r_name' as line union all select r_regionkey || '|' || r_name from region")
+def sink_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = report(table(spark, sf_dir, "region").select("r_regionkey", "r_name").orderBy("r_regionkey"), 0)
+    return spark.createDataFrame([(x,) for x in text.splitlines()], "line string")
+
+
+@_query("select * from (values ('region', 5), ('nation', 25), ('supplier', 20), ('customer', 300), ('part', 400), ('partsupp', 1600), ('orders', 3000), ('ordered', 3000), ('new orders', 3), ('new ordered', 3), ('old orders', 3)) t(name, n_rows)")
+def generator_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of the generated tables and of a refresh set; lines are counted by their orders."""
+    made = generated(spark, 0.002)
+    orders, lines, old = refresh_set(spark, 0.002, 1)
+    ordered = {"ordered": made.pop("lineitem").select("l_orderkey").distinct(), "new orders": orders, "new ordered": lines.select("l_orderkey").distinct(), "old orders": old}
+    parts = [df.agg(F.lit(name).alias("name"), F.count("*").cast("int").alias("n_rows")) for name, df in (made | ordered).items()]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.union(p)
+    return out
+
+
 # The cube.
 
 _FACTS = f"""(select n_regionkey as c_region_id, c_nationkey as c_nation_id, l_partkey as product_id,
@@ -318,6 +449,88 @@ def cube_view_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cube.query(spark, sf_dir, view, limit=20)
 
 
+_ALL_CUBOIDS = cuboids()
+
+
+@_query(_union_sql(_ALL_CUBOIDS, "cast(sum(volume) as decimal(38,4)) as sum_volume, cast(cast(sum(volume) as decimal(38,4)) as double) / count(*) as avg_volume"))
+def cube_averages_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cube.averages(spark, sf_dir, _ALL_CUBOIDS)
+
+
+_BUILT: dict[tuple[str, str], str] = {}
+
+
+def _built(spark: SparkSession, sf_dir: str) -> str:
+    """The folder of a cube over these tables, built once for each application."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _BUILT:
+        path = scratch(spark, f"cube-{uuid.uuid4().hex}")
+        cube.build(spark, sf_dir, path)
+        _BUILT[key] = path
+    return _BUILT[key]
+
+
+def _routed(spark: SparkSession, sf_dir: str, view: CubeView) -> DataFrame:
+    return cube.query(spark, sf_dir, view, _built(spark, sf_dir))
+
+
+#: Views answered from a built cube; the last one isn't stored and goes to the facts.
+for _levels in [(), ("product_id",), ("c_region_id", "o_year"), ("c_nation_id", "o_date"), ("c_nation_id", "product_id"), ("c_region_id", "o_year", "product_id"), ("o_yearmonth", "product_id")]:
+    MADE["cube_routed_" + ("__".join(_levels) or "all")] = (partial(_routed, view=_view(_levels)), _view_sql(_levels))
+
+
+@_query(" union all ".join(f"select '{cuboid_name(w)}' as cuboid, count(*) as n_rows, true as on_disk from (select 1 from {_FACTS}{' group by ' + ', '.join(w) if w else ' limit 1'}) c" for w in _STORED)
+        + " union all select 'base', " + " + ".join(f"(select count(*) from {t})" for t in ("nation", "customer", "orders", "lineitem")) + ", true")
+def cube_storage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of each stored cuboid and of the base tables; bytes of files differ from engine to engine, so only that there are any."""
+    return cube.storage(spark, sf_dir, _built(spark, sf_dir)).select("cuboid", "n_rows", (F.col("n_bytes") > 0).alias("on_disk"))
+
+
+@_query(_view_sql(("c_nation_id", "o_yearmonth"), "o_yearmonth between 199601 and 199606 and c_nation_id between 3 and 9"))
+def cube_dice_two(spark: SparkSession, sf_dir: str) -> DataFrame:
+    view = _view(("c_nation_id", "o_yearmonth")).dice({"time": (199601, 199606), "customer_location": (3, 9)})
+    return _routed(spark, sf_dir, view)
+
+
+def _regions(spark: SparkSession, sf_dir: str) -> dict[int, int]:
+    return {r[0]: r[1] for r in table(spark, sf_dir, "nation").select("n_nationkey", "n_regionkey").collect()}  # 25 rows
+
+
+@_query(_view_sql(("c_region_id", "o_yearmonth"), "o_yearmonth between 199602 and 199604 and c_region_id = 3"))
+def cube_carried_up(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Days become their months, a nation its region."""
+    view = _view(("c_nation_id", "o_date")).dice({"time": (dt.date(1996, 2, 9), dt.date(1996, 4, 2)), "customer_location": (8, 8)})
+    return _routed(spark, sf_dir, view.roll_up("time", True).roll_up("customer_location", True, _regions(spark, sf_dir)))
+
+
+@_query(_view_sql(("o_date",), "o_date between date '1996-01-01' and date '1997-12-31'"))
+def cube_carried_down(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Years become their months, and those their days."""
+    return _routed(spark, sf_dir, _view(("o_year",)).dice({"time": (1996, 1997)}).drill_down("time", True).drill_down("time", True))
+
+
+#: Seed of a walk whose last view has two levels and a range.
+WALK = 56
+
+
+def _walked() -> CubeView:
+    shell = Shell(None, "")
+    for command in random_walk(9, seed=WALK):
+        shell.step(command)
+    return shell.history.view
+
+
+def _where(view: CubeView) -> str:
+    quoted = {d: [f"date '{x}'" if isinstance(x, dt.date) else str(x) for x in r] for d, r in view.ranges.items()}
+    return " and ".join(f"{view.levels[d]} between {lo} and {hi}" for d, (lo, hi) in quoted.items()) or "true"
+
+
+@_query(_view_sql(_walked().columns, _where(_walked())))
+def cube_walk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The view that a random navigation ends in."""
+    return _routed(spark, sf_dir, _walked())
+
+
 def queries() -> dict[str, Query]:
     return {name: f for name, (f, _) in MADE.items()}
 

@@ -4,24 +4,27 @@ from __future__ import annotations
 
 from pyspark.sql import types as T
 
-_MONEY = T.DecimalType(15, 2)
-_KINDS = {"i": T.LongType(), "s": T.StringType(), "m": _MONEY, "d": T.DateType()}
+WHOLE, TEXT, MONEY, DAY = T.LongType(), T.StringType(), T.DecimalType(15, 2), T.DateType()
 
 
-def _schema(spec: str) -> T.StructType:
-    return T.StructType([T.StructField(n, _KINDS[k]) for n, k in (x.split(":") for x in spec.split())])
+def _schema(**columns: T.DataType) -> T.StructType:
+    return T.StructType([T.StructField(name, kind) for name, kind in columns.items()])
 
 
+#: The tables' columns and types.
 SCHEMAS = {
-    "region": _schema("r_regionkey:i r_name:s r_comment:s"),
-    "nation": _schema("n_nationkey:i n_name:s n_regionkey:i n_comment:s"),
-    "supplier": _schema("s_suppkey:i s_name:s s_address:s s_nationkey:i s_phone:s s_acctbal:m s_comment:s"),
-    "customer": _schema("c_custkey:i c_name:s c_address:s c_nationkey:i c_phone:s c_acctbal:m c_mktsegment:s c_comment:s"),
-    "part": _schema("p_partkey:i p_name:s p_mfgr:s p_brand:s p_type:s p_size:i p_container:s p_retailprice:m p_comment:s"),
-    "partsupp": _schema("ps_partkey:i ps_suppkey:i ps_availqty:i ps_supplycost:m ps_comment:s"),
-    "orders": _schema("o_orderkey:i o_custkey:i o_orderstatus:s o_totalprice:m o_orderdate:d o_orderpriority:s o_clerk:s o_shippriority:i o_comment:s"),
-    "lineitem": _schema("l_orderkey:i l_partkey:i l_suppkey:i l_linenumber:i l_quantity:m l_extendedprice:m l_discount:m l_tax:m l_returnflag:s l_linestatus:s l_shipdate:d l_commitdate:d l_receiptdate:d l_shipinstruct:s l_shipmode:s l_comment:s"),
-}
+    "region": _schema(r_regionkey=WHOLE, r_name=TEXT, r_comment=TEXT),
+    "nation": _schema(n_nationkey=WHOLE, n_name=TEXT, n_regionkey=WHOLE, n_comment=TEXT),
+    "supplier": _schema(s_suppkey=WHOLE, s_name=TEXT, s_address=TEXT, s_nationkey=WHOLE, s_phone=TEXT, s_acctbal=MONEY, s_comment=TEXT),
+    "customer": _schema(c_custkey=WHOLE, c_name=TEXT, c_address=TEXT, c_nationkey=WHOLE, c_phone=TEXT, c_acctbal=MONEY, c_mktsegment=TEXT, c_comment=TEXT),
+    "part": _schema(p_partkey=WHOLE, p_name=TEXT, p_mfgr=TEXT, p_brand=TEXT, p_type=TEXT, p_size=WHOLE, p_container=TEXT, p_retailprice=MONEY, p_comment=TEXT),
+    "partsupp": _schema(ps_partkey=WHOLE, ps_suppkey=WHOLE, ps_availqty=WHOLE, ps_supplycost=MONEY, ps_comment=TEXT),
+    "orders": _schema(o_orderkey=WHOLE, o_custkey=WHOLE, o_orderstatus=TEXT, o_totalprice=MONEY, o_orderdate=DAY, o_orderpriority=TEXT, o_clerk=TEXT, o_shippriority=WHOLE, o_comment=TEXT),
+    "lineitem": _schema(
+        l_orderkey=WHOLE, l_partkey=WHOLE, l_suppkey=WHOLE, l_linenumber=WHOLE, l_quantity=MONEY, l_extendedprice=MONEY, l_discount=MONEY, l_tax=MONEY,
+        l_returnflag=TEXT, l_linestatus=TEXT, l_shipdate=DAY, l_commitdate=DAY, l_receiptdate=DAY, l_shipinstruct=TEXT, l_shipmode=TEXT, l_comment=TEXT,
+    ),
+}
 PRIMARY_KEYS = {
     "region": ["r_regionkey"], "nation": ["n_nationkey"], "supplier": ["s_suppkey"], "customer": ["c_custkey"], "part": ["p_partkey"],
     "partsupp": ["ps_partkey", "ps_suppkey"], "orders": ["o_orderkey"], "lineitem": ["l_orderkey", "l_linenumber"],

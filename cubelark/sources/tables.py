@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Mapping
 
 from pyspark.sql import DataFrame, SparkSession
@@ -25,6 +26,11 @@ def read_tbl(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
     return spark.read.schema(padded).option("sep", "|").option("mode", "PERMISSIVE").csv(path).drop("_end")
 
 
+def write_tbl(df: DataFrame, path: str) -> None:
+    """A `|`-separated text table whose lines end in `|`."""
+    df.select("*", F.lit(None).cast("string").alias("_end")).write.mode("overwrite").option("sep", "|").option("nullValue", "").option("emptyValue", "").csv(path)
+
+
 def load_tables(spark: SparkSession, sources: Mapping[str, str], target: str) -> None:
     """Drop and recreate the Parquet tables under `target` from `.tbl` files by table name."""
     for name, path in sources.items():
@@ -37,14 +43,26 @@ def recreate_table(df: DataFrame, name: str) -> None:
     df.write.saveAsTable(name)
 
 
+#: One statement: quoted strings and names, comments, and anything else up to a semicolon.
+_STATEMENT = re.compile(r"""(?:'(?:[^'\\]|\\.|'')*'|"(?:[^"\\]|\\.)*"|`[^`]*`|--[^\n]*|/\*.*?\*/|[^;'"`])+""", re.S)
+
+
+def statements(script: str) -> list[str]:
+    """The statements of a script separated by `;`, not counting those inside quotes and comments."""
+    return [x for x in (m.group().strip() for m in _STATEMENT.finditer(script)) if re.sub(r"--[^\n]*|/\*.*?\*/", "", x, flags=re.S).strip()]
+
+
 def run_script(spark: SparkSession, script: str) -> int:
-    """Run statements separated by `;`; returns how many. A failing one stops the script."""
-    done = 0
-    for statement in script.split(";"):
-        if statement.strip():
-            spark.sql(statement)
-            done += 1
-    return done
+    """Run a script's statements, session variables included; returns how many. A failing one stops it."""
+    done = statements(script)
+    for statement in done:
+        spark.sql(statement)
+    return len(done)
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A path for intermediate files under the session's warehouse, which all executors share."""
+    return f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/cubelark-{name}"
 
 
 def partition_of(name: str, df: DataFrame, orders: DataFrame | None = None) -> DataFrame:

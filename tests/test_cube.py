@@ -34,6 +34,30 @@ def test_navigation():
         day.drill_down("time")
 
 
+def test_ranges_are_carried_up_and_down():
+    regions = {n: n % 5 for n in range(25)}
+    month = CubeView({"time": "o_yearmonth"}, {"time": (199511, 199602)})
+    assert month.roll_up("time", True).ranges == {"time": (1995, 1996)}
+    assert month.drill_down("time", True).ranges == {"time": (dt.date(1995, 11, 1), dt.date(1996, 2, 29))}
+    assert month.roll_up("time", True).drill_down("time", True).ranges == {"time": (199501, 199612)}
+    nation = CubeView({"customer_location": "c_nation_id"}, {"customer_location": (7, 8)})
+    assert nation.roll_up("customer_location", True, regions).ranges == {"customer_location": (2, 3)}
+    assert nation.roll_up("customer_location", True).ranges == {} and nation.roll_up("customer_location").ranges == {}
+    region = CubeView({"customer_location": "c_region_id"}, {"customer_location": (1, 1)})
+    assert region.drill_down("customer_location", True, regions).ranges == {}  # 1, 6, 11, ... is no range
+    assert region.drill_down("customer_location", True, {3: 1, 4: 1, 5: 2}).ranges == {"customer_location": (3, 4)}
+
+
+def test_random_walks_run_and_use_every_step():
+    used = set()
+    for seed in range(20):
+        shell = Shell(None, "")
+        for command in random_walk(15, seed):
+            assert shell.step(command)
+            used.add(command.split()[0])
+    assert used == {"drilldown", "rollup", "slice", "dice"}
+
+
 def test_stored_and_virtual_routes_agree_and_sums_hold(spark, tmp_path):
     path = str(tmp_path / "cube")
     engine.build(spark, SF, path)

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 from cubelark.operators import bloom
 from cubelark.operators.predicates import Predicate, all_of, any_of
 from cubelark.operators.relational import group_sum, join, project
-from cubelark.sources.tables import load_tables, read_tbl, refresh_delete, run_script, table
+from cubelark.sources.tables import jdbc, load_tables, read_tbl, refresh_delete, run_script, statements, table
 from cubelark.schemas import SCHEMAS
 
 
@@ -52,6 +52,13 @@ def test_bloom_filter_drops_other_bits_and_joins_exactly(spark):
     small = spark.range(200).withColumnRenamed("id", "s")
     assert bloom.probe(small, "s", bloom.build_bits(big, "b")).count() == 2
     assert bloom.bloom_join(big, "b", small, "s", bits=11).count() == 3
+    assert bloom.bloom_join(big, "b", small, "s", where=F.col("s") > 60).count() == 1
+
+
+def test_bloom_bits_grow_with_the_keys_up_to_a_bound():
+    sizes = [bloom.bits_for(n) for n in (0, 10, 6242, 10**5, 10**6, 10**9)]
+    assert sizes[0] == sizes[1] == 99881 and sizes == sorted(sizes) and sizes[-1] <= bloom.MOST_BITS
+    assert all(n % d for n in sizes for d in range(2, 2000))
 
 
 def test_tbl_round_trip(spark, tmp_path):
@@ -62,3 +69,44 @@ def test_tbl_round_trip(spark, tmp_path):
     assert sorted(r["r_name"] for r in got.collect()) == ["AFRICA", "ASIA"]
     assert refresh_delete(got, spark.createDataFrame([(0,)], "r_regionkey long"), "r_regionkey").count() == 1
     assert run_script(spark, "select 1; select 2;") == 2
+
+
+def test_scripts_split_outside_quotes_and_comments():
+    script = "select 'a;b', 'it''s;'; -- no; end\nselect \"x;\"; /* ;; */ ; select `c;d`;;"
+    assert [s.splitlines()[-1] for s in statements(script)] == ["select 'a;b', 'it''s;'", 'select "x;"', "select `c;d`"]
+
+
+def test_jdbc_gathers_a_relation_by_predicates(spark, tmp_path):
+    url, driver = f"jdbc:derby:{tmp_path / 'db'};create=true", {"driver": "org.apache.derby.iapi.jdbc.AutoloadedDriver"}
+    spark.range(20).selectExpr("id", "id % 3 as k").write.jdbc(url, "numbers", "overwrite", driver)
+    got = jdbc(spark, url, "numbers", [f'"k" = {i}' for i in range(3)], driver)
+    assert sorted(r["id"] for r in got.collect()) == list(range(20)) and got.rdd.getNumPartitions() == 3
+
+
+def test_text_functions(spark):
+    from cubelark.functions.strings import insert, length
+
+    df = spark.createDataFrame([("Quadratic",), ("é",), ("",), (None,)], "t string")
+    got = [tuple(r) for r in df.select(length(F.col("t")), insert(F.col("t"), 3, 4, "What"), insert(F.col("t"), 1, 1, "")).collect()]
+    assert got == [(9, "QuWhattic", "uadratic"), (1, "é", ""), (0, "", ""), (None, None, None)]
+
+
+def test_generated_tables_hold_together(spark):
+    from cubelark.sources.generator import generated, refresh_set
+
+    t = generated(spark, 0.001)
+    assert {n: df.dtypes for n, df in t.items()} == {n: [(f.name, f.dataType.simpleString()) for f in kind] for n, kind in SCHEMAS.items()}
+    line, offers = t["lineitem"], t["partsupp"]
+    assert line.join(offers, (line.l_partkey == offers.ps_partkey) & (line.l_suppkey == offers.ps_suppkey), "left_anti").count() == 0
+    assert offers.select("ps_partkey", "ps_suppkey").distinct().count() == 4 * t["part"].count()
+    assert t["orders"].join(t["customer"], F.col("o_custkey") == F.col("c_custkey")).count() == t["orders"].count() == 1500
+    keys = [{r[0] for r in refresh_set(spark, 0.001, n)[0].select("o_orderkey").collect()} for n in (1, 2)]
+    assert keys == [{1501, 1502}, {1503, 1504}]
+
+
+def test_reports_say_when_there_is_more(spark, monkeypatch):
+    from cubelark.sources import sinks
+
+    monkeypatch.setattr(sinks, "MOST_SHOWN", 3)
+    assert sinks.report(spark.range(5), 0).splitlines() == ["id", "0", "1", "2", "... more than 3 rows"]
+    assert sinks.report(spark.range(3), 0).splitlines() == ["id", "0", "1", "2"] and len(sinks.report(spark.range(9), 4).splitlines()) == 5
