@@ -22,7 +22,7 @@ def shared_dir(spark: SparkSession) -> str:
     context = spark.sparkContext
     where = spark.conf.get(CHECKPOINT, None) or context.getCheckpointDir()
     if not where:
-        if not context.master.startswith("local"):
+        if context.master != "local" and not context.master.startswith("local["):
             raise RuntimeError(f"{CHECKPOINT} must name a folder that the driver and all executors share")
         where = tempfile.mkdtemp(prefix="shared-")
     if not context.getCheckpointDir():
