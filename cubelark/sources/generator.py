@@ -68,8 +68,9 @@ def _price(part: Column) -> Column:
 
 
 def _supplier(part: Column, i: Column, suppliers: int) -> Column:
-    """The part's i-th supplier, 0 to 3, a fixed rule of the schema."""
-    return F.pmod(part + i * (F.lit(suppliers // 4) + F.floor((part - 1) / suppliers)), F.lit(suppliers)) + 1
+    """The part's i-th supplier, 0 to 3, a fixed rule of the schema; so few suppliers that it would repeat one are a quarter apart."""
+    shift = F.floor((part - 1) / suppliers) if suppliers >= 80 else F.lit(0)
+    return F.pmod(part + i * (F.lit(suppliers // 4) + shift), F.lit(suppliers)) + 1
 
 
 def _sizes(scale: float) -> dict[str, int]:
