@@ -77,7 +77,7 @@ def line_features(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.nda
     starts, ends, at = lines_of(buf, offs)
     size = (ends - starts).astype(np.float64)
     if not len(starts):
-        return np.zeros((0, 2 * _WIDTH), np.float32), size, at
+        return np.zeros((0, _WIDTH), np.float32), size, at
     share = {k: _sums(lut[buf], starts, ends) / size for k, lut in _LUTS.items()}
     ws, we, _ = tx.word_spans(buf, np.union1d(offs, starts))
     h = tx.span_hashes(buf, ws, we)
