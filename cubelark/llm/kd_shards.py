@@ -19,6 +19,8 @@ from .store import durable, numbered
 #: Bits of a coordinate that one pass of the median search settles, and the passes.
 DIGIT, PASSES = 16, 4
 _HALF = 1 << 31
+#: Leaves of a tree at most; a row for each is kept by the driver and broadcast.
+MOST_LEAVES = 1 << 18
 
 
 def _code(value: Column) -> Column:
@@ -55,10 +57,13 @@ def kd_shards(docs: DataFrame, shards: int | None = None, target_bytes: int | No
 
     Leaves are numbered 0.. in tree order; give their number or the bytes of one.
     Dimensions are source, lang and the text's length in characters; missing
-    columns and nulls count as one value. size is the text's UTF-8 bytes plus 1
+    columns and nulls count as one value. A place on the axes source and lang is a hash of the
+    name, so their width tells only whether a node has one name or several. size is the text's UTF-8 bytes plus 1
     (null: 1). slot numbers a shard's rows from 0 by doc_id, ties in any order. The
-    law is `bytes`: grown_shard is null. A leaf may stay empty when single rows
-    outweigh it; an empty table gives no rows.
+    law is `bytes`: grown_shard is null. Each row is placed by itself: rows with equal texts are alike in
+    size and text_crc32, and may be in different shards, as a group of copies may outweigh a
+    shard. Rows that repeat a doc_id go together unless they differ on the axes; null doc_ids come first. A leaf may stay
+    empty when single rows outweigh it; an empty table gives no rows. Other columns are ignored.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
     names = set(docs.columns)
@@ -73,6 +78,8 @@ def kd_shards(docs: DataFrame, shards: int | None = None, target_bytes: int | No
     total = whole["bytes"] or 0
     leaves = shards or max(1, round(total / target_bytes))
     ranges = [max(1, (whole[f"hi{i}"] or 0) - (whole[f"lo{i}"] or 0)) for i in range(3)]
+    if leaves > MOST_LEAVES:
+        raise ValueError(f"{leaves} leaves; a tree has at most {MOST_LEAVES}")
     spark, quota = docs.sparkSession, {1: leaves}
     for _ in range(math.ceil(math.log2(leaves)) if leaves > 1 else 0):
         open_nodes = {n: k for n, k in quota.items() if k > 1}

@@ -33,44 +33,54 @@ def tokenizer_file(name: str) -> str:
 
 
 def op1_quality_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Score, prediction and fold of every document; see `classified`."""
     return classified(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
 def op2_line_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines, dropped lines and the hash of the text that is left, of every document; see `drop_recurring_lines`."""
     out = drop_recurring_lines(_table(spark, sf_dir, "documents"))
     text = F.coalesce("text", F.lit(""))
     return out.select("doc_id", F.col("_lines").alias("n_lines"), F.col("_dropped").alias("n_dropped"), F.sha2(text, 256).alias("text_sha256"))
 
 
 def op3_perspective_rotation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every dialogue once for each participant; see `rotated`."""
     return rotated(_table(spark, sf_dir, "conversations"))
 
 
 def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licences found in documents; see `scan`."""
     return scan(_table(spark, sf_dir, "documents"))
 
 
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The group of equal texts of every document; see `duplicate_groups`."""
     return duplicate_groups(_table(spark, sf_dir, "documents"))
 
 
 def op6_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark items found in documents; see `contaminated`."""
     return contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
 def op7_simple8b_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Index of a token file of all documents, read back from it; see `encode_to_index`."""
     return encode_to_index(_table(spark, sf_dir, "documents"), read_model(tokenizer_file("word_bpe_49k.json")), end_id=2)
 
 
 def op8_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shingles, class, component and number of links of every document; see `jaccard_components`."""
     return jaccard_components(_table(spark, sf_dir, "documents"))
 
 
 def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digest of the ids of every document and whether they decode to its text; see `round_trips`."""
     return round_trips(_table(spark, sf_dir, "documents"), read_model(tokenizer_file("piece_bpe_32k.model")))
 
 
 def op10_kd_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shard and slot of every document among eight; see `kd_shards`."""
     return kd_shards(_table(spark, sf_dir, "documents"), shards=8)
 
 
@@ -183,9 +193,36 @@ from n
 """
 
 
+OP8_SQL = r"""
+with recursive words as (
+  select doc_id, [x for x in regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+') if x <> ''] as w from documents
+), sets as (
+  select doc_id, list_sort(list_distinct(case when len(w) = 0 then [] when len(w) < 5 then [array_to_string(w, ' ')]
+    else [array_to_string(w[i + 1 : i + 5], ' ') for i in range(len(w) - 4)] end)) as s from words
+), placed as (
+  select doc_id, len(s) as n, case when len(s) = 0 then doc_id else min(doc_id) over (partition by s) end as class_id, s from sets
+), shingles as (
+  select class_id, n, unnest(s) as x from placed where doc_id = class_id
+), links as (
+  select a.class_id as a, b.class_id as b from shingles a join shingles b on a.x = b.x and a.class_id <> b.class_id
+  group by a.class_id, b.class_id, a.n, b.n having 100 * count(*) >= 80 * (a.n + b.n - count(*))
+), reach as (
+  select class_id as a, class_id as b from placed where doc_id = class_id
+  union
+  select r.a, l.b from reach r join links l on r.b = l.a
+), component as (
+  select a as class_id, min(b) as component_id from reach group by a
+), counted as (
+  select a as class_id, count(*) as n_links from links group by a
+)
+select doc_id, n as n_shingles, component_id, class_id, coalesce(n_links, 0) as n_links
+from placed join component using (class_id) left join counted using (class_id)
+"""
+
+
 def queries() -> dict[str, Query]:
     return {f.__name__: f for f in (op1_quality_crf, op2_line_templates, op3_perspective_rotation, op4_license_scan, op5_exact_dedup, op6_benchmark_decontamination, op7_simple8b_tokens, op8_ngram_jaccard_join, op9_sentencepiece, op10_kd_shards)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_line_templates": OP2_SQL, "op3_perspective_rotation": OP3_SQL, "op4_license_scan": OP4_SQL, "op5_exact_dedup": OP5_SQL}
+    return {"op2_line_templates": OP2_SQL, "op3_perspective_rotation": OP3_SQL, "op4_license_scan": OP4_SQL, "op5_exact_dedup": OP5_SQL, "op8_ngram_jaccard_join": OP8_SQL}

@@ -244,3 +244,70 @@ def test_library_from_files(spark, tmp_path):
     assert set(library) == {"mit-text.txt", "zlib-text.txt"}
     got = scan(plain(spark, [(1, "x y z " + TEMPLATES["zlib-text"].upper())]), library).collect()
     assert [(r["doc_id"], r["license_id"], r["containment"]) for r in got] == [(1, "zlib-text.txt", 1.0)]
+
+
+def test_bands_find_every_region_in_reach(spark):
+    """Against semi-global edit distances of every segment to every text."""
+    import numpy as np
+
+    from cubelark.llm.decontaminate import ERROR, SEGMENT, Index, folded
+
+    rng = random.Random(8)
+    items = [" ".join("".join(rng.choice("abcdefgh") for _ in range(rng.randint(1, 9))) for _ in range(n)) for n in (8, 14, 25, 40)]
+    texts = []
+    for k in range(60):
+        t = list(items[k % 4])
+        for _ in range(k // 3):  # up to far more edits than a segment may have
+            i = rng.randrange(len(t))
+            t[i : i + rng.randint(0, 1)] = rng.choice(["", "x", "yz"])
+        texts.append(" ".join(["w" + "".join(rng.choice("ijkl") for _ in range(5)) for _ in range(rng.randint(0, 9))]) + " " + "".join(t) + " tail of the text")
+    index = Index([(i, folded([t])[0].tobytes().strip()) for i, t in enumerate(items)], SEGMENT, ERROR)
+
+    def least(segment, text):
+        row = np.zeros(len(text) + 1, np.int64)
+        span = np.arange(len(text) + 1)
+        for c in segment:
+            new = np.concatenate([[row[0] + 1], np.minimum(row[:-1] + (text != c), row[1:] + 1)])
+            row = np.minimum.accumulate(new - span) + span
+        return int(row.min())
+
+    buf, offs = folded(texts)
+    want = set()
+    for t in range(len(texts)):
+        own = buf[offs[t] : offs[t + 1]]
+        want |= {(t, index.item[s]) for s, piece in enumerate(index.text) if least(piece, own) <= index.budget[s]}
+    assert set(index.found(buf, offs)) == want and 20 < len(want) < 60
+    rows = contaminated(plain(spark, list(enumerate(texts))), spark.createDataFrame(list(enumerate(items)), "item_id long, text string")).collect()
+    assert {(r["doc_id"], r["item_id"]) for r in rows} == want
+
+
+def test_shards_match_a_plain_tree(spark):
+    """The same splits by sorting each node's rows."""
+    from cubelark.llm import kd_shards as kd
+
+    rng = random.Random(9)
+    rows = [(i, "x" * rng.choice((0, 3, 50, 400)) + "y" * rng.randint(0, 30), rng.choice("aaab"), rng.choice(("en", "de", None))) for i in range(400)] + [(i, "same", "a", "en") for i in range(400, 700)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string")
+    tie = F.pmod(F.xxhash64("doc_id"), F.lit(kd._HALF))
+    held = [tuple(r) for r in docs.select("doc_id", F.octet_length("text") + 1, kd._code(F.col("source")), kd._code(F.col("lang")), F.length("text"), tie).collect()]
+    whole = [max(1, max(r[k] for r in held) - min(r[k] for r in held)) for k in (2, 3, 4)]
+
+    def split(own, leaves):
+        if leaves == 1:
+            return [own]
+        width = [(max(r[k] for r in own) - min(r[k] for r in own)) / whole[k - 2] for k in (2, 3, 4)]
+        axis = 2 + width.index(max(width))
+        at = sorted((r[axis] * kd._HALF + r[5], r[1]) for r in own)
+        want, upto = sum(r[1] for r in own) * (leaves // 2) // leaves, 0
+        for place, size in at:
+            upto += size
+            if upto >= want:
+                cut = place - 1 if upto - want > want - (upto - size) else place
+                break
+        left = [r for r in own if r[axis] * kd._HALF + r[5] <= cut]
+        return split(left, leaves // 2) + split([r for r in own if r not in set(left)], leaves - leaves // 2)
+
+    want = {r[0]: i for i, leaf in enumerate(split(held, 8)) for r in leaf}
+    assert {r["doc_id"]: r["shard"] for r in kd_shards(docs, shards=8).collect()} == want
+    with pytest.raises(ValueError):
+        kd_shards(docs, shards=kd.MOST_LEAVES + 1)
