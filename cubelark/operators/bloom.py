@@ -43,15 +43,17 @@ def bits_set(vector: DataFrame) -> DataFrame:
 def probe(df: DataFrame, key: str, vector: DataFrame, bits: int = BITS, where: Column | None = None) -> DataFrame:
     """Rows whose key's bit is set and, if given, that satisfy `where`.
 
-    The vector is at most bits / 8 bytes (12 KB by default), so it is broadcast.
+    The vector is at most bits / 8 bytes (12 KB by default), so it is broadcast, as
+    words of four bytes that a row's bit is looked up in without copying.
     """
     df = df if where is None else df.filter(where)
     h = bloom_hash(F.col(key), bits) + 1
     marked = df.withColumn("_bucket", F.bitmap_bucket_number(h)).withColumn("_bit", F.bitmap_bit_position(h))
-    both = marked.join(F.broadcast(vector.select(F.col("bucket").alias("_b"), F.col("bitmap").alias("_m"))), F.col("_bucket") == F.col("_b"))
-    byte = F.expr("cast(conv(hex(substring(_m, cast(_bit div 8 as int) + 1, 1)), 16, 10) as int)")
-    hit = byte.bitwiseAND(F.expr("shiftleft(1, cast(_bit % 8 as int))")) != 0
-    return both.where(hit).drop("_bucket", "_bit", "_b", "_m")
+    words = F.expr("transform(sequence(0, 1023), i -> cast(conv(hex(substring(bitmap, i * 4 + 1, 4)), 16, 10) as bigint))")
+    held = F.broadcast(vector.select(F.col("bucket").alias("_b"), words.alias("_w")))
+    # Bits of a byte are counted from its lowest one, bytes of a word from its highest.
+    hit = F.expr("(shiftright(_w[cast(_bit div 32 as int)], cast((3 - (_bit div 8) % 4) * 8 + _bit % 8 as int)) & 1) = 1")
+    return marked.join(held, (F.col("_bucket") == F.col("_b")) & hit, "left_semi").drop("_bucket", "_bit")
 
 
 def bits_for(keys: int) -> int:
@@ -62,14 +64,24 @@ def bits_for(keys: int) -> int:
     return n
 
 
+def _kept(vector: DataFrame) -> DataFrame:
+    """The vector computed now, as rows of the driver: at most MOST_BITS / 8 bytes."""
+    return vector.sparkSession.createDataFrame(vector.collect(), vector.schema)
+
+
 def bloom_join(big: DataFrame, big_key: str, small: DataFrame, small_key: str, bits: int | None = None, where: Column | None = None) -> DataFrame:
     """Inner join; `big` is first reduced to the rows that may have a partner in `small`, where it is scanned.
 
-    The vector comes from the filtered `small` side, whose keys are counted to choose
-    its length. With more keys than the longest vector can tell apart it
+    The vector comes from the filtered `small` side. Without `bits`, one of the default
+    length is tried first; if more than an eighth of its bits are set, the keys are counted
+    and a longer one is made. With more keys than the longest vector can tell apart it
     lets more through, and the join decides all the same.
     """
     small = small if where is None else small.filter(where)
-    bits = bits or bits_for(small.count())
-    reduced = probe(big, big_key, build_bits(small, small_key, bits), bits)
-    return reduced.join(small, F.col(big_key) == F.col(small_key))
+    vector = _kept(build_bits(small, small_key, bits or BITS))
+    if not bits:
+        bits = BITS
+        if 8 * bits_set(vector).first()[0] > BITS:
+            bits = bits_for(small.count())
+            vector = _kept(build_bits(small, small_key, bits))
+    return probe(big, big_key, vector, bits).join(small, F.col(big_key) == F.col(small_key))

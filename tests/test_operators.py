@@ -53,6 +53,9 @@ def test_bloom_filter_drops_other_bits_and_joins_exactly(spark):
     assert bloom.probe(small, "s", bloom.build_bits(big, "b")).count() == 2
     assert bloom.bloom_join(big, "b", small, "s", bits=11).count() == 3
     assert bloom.bloom_join(big, "b", small, "s", where=F.col("s") > 60).count() == 1
+    many = spark.range(0, 60_000, 3).withColumnRenamed("id", "s")  # too many for the default length
+    assert bloom.bloom_join(spark.range(60_000).withColumnRenamed("id", "b"), "b", many, "s").count() == 20_000
+    assert bloom.probe(spark.range(60_000), "id", bloom.build_bits(many, "s", bits := bloom.bits_for(20_000)), bits).count() < 25_000
 
 
 def test_bloom_bits_grow_with_the_keys_up_to_a_bound():
