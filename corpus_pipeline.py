@@ -1,4 +1,9 @@
-"""From raw documents to token ids: five stages, each on all its predecessor kept."""
+"""From raw documents to token ids: five stages, each on all its predecessor kept.
+
+Every stage but the last gives back the columns it got, whatever others there are
+beside doc_id and text, and takes an empty table to an empty one. No stage needs doc_id to be a
+key: repeated rows are treated alike, and rows without one are decided by their text.
+"""
 
 from __future__ import annotations
 
@@ -22,6 +27,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the line CRF scores below its threshold go.
 
     The model is fitted on the labelled rows of the stage's own input, without the held-out fold.
+    Null and empty texts score 0 and go.
     """
     return quality_filter(docs, train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
 
@@ -29,7 +35,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeats of recurring lines go; documents of nothing else go with them.
 
-    A text that had no words before stays as it is. n_chars follows the new text.
+    The first of equal lines stays, by doc_id. A text that had no words before, null included,
+    stays as it is. n_chars follows the new text.
     """
     out = drop_recurring_lines(docs).where((F.col("_dropped") == 0) | F.col("text").rlike(r"[^\x20\x09-\x0D]"))
     changed = F.col("_dropped") > 0
@@ -38,17 +45,17 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies the document with the smallest doc_id stays."""
+    """Of each group of near copies the document with the smallest doc_id stays; texts without words are in no group."""
     return near_duplicate_filter(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a benchmark item go."""
+    """Documents that hold a benchmark item go; null and empty texts, and items, hold and are none."""
     return decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id and SentencePiece ids of every document."""
+    """doc_id and SentencePiece ids of every document; none for null and empty texts."""
     return encode_documents(docs, read_model(tokenizer_file("piece_bpe_32k.model")))
 
 
@@ -60,7 +67,7 @@ STAGES: list[tuple[str, Stage]] = [
     ("tokens", tokens),
 ]
 
-#: The classifier, the alignment and the tokenizer have no SQL form; tests/llm compare them with brute force.
+#: The classifier, the alignment and the tokenizer have no SQL form; tests/llm hold `run` against a plain Python chain of the stages.
 ORACLE_SQL: str | None = None
 
 

@@ -390,7 +390,11 @@ def _two(docs: DataFrame) -> DataFrame:
 
 
 def encode_documents(docs: DataFrame, model: bytes) -> DataFrame:
-    """doc_id and ids of every document; null and empty texts have no ids. Other columns are ignored."""
+    """doc_id and ids of every row; null and empty texts have an empty list of ids.
+
+    Repeated rows and null doc_ids have a row each; an empty table gives none. Of paths
+    with equal scores the one whose last piece is longest wins. Other columns are ignored.
+    """
     return _two(docs).mapInArrow(partial(_encode_rows, model=model), "doc_id long, ids array<int>")
 
 
@@ -401,5 +405,9 @@ def decode_documents(encoded: DataFrame, model: bytes) -> DataFrame:
 
 
 def round_trips(docs: DataFrame, model: bytes) -> DataFrame:
-    """Per document: n_tokens, ids_crc32 (ids as little-endian 32-bit integers), the path's score and whether decoding gives the text back."""
+    """Per row: doc_id, n_tokens, ids_crc32 (ids as little-endian 32-bit integers), the path's score and whether decoding gives the text back.
+
+    Null texts are as empty ones: no tokens, score 0, round trip true. A text with a literal
+    space mark doesn't come back, as decoding gives a space. Rows and columns are taken as in `encode_documents`.
+    """
     return _two(docs).mapInArrow(partial(_digest_rows, model=model), "doc_id long, n_tokens long, ids_crc32 long, path_score double, round_trip boolean")

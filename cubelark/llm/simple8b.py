@@ -214,13 +214,16 @@ def _segment_rows(batches: Iterator[pa.RecordBatch], tokenizer: bytes, end_id: i
 def write_tokens(docs: DataFrame, tokenizer: bytes, path: str, end_id: int, partitions: int | None = None) -> None:
     """Encode every document, append end_id, and write a token file in ascending doc_id order.
 
-    Null texts count as empty. Texts are range-partitioned on doc_id once, as they
-    are smaller than their ids; tokens are written by the tasks that make them.
+    Null and empty texts have the end id alone. Null doc_ids come first; rows that
+    repeat a doc_id are in order of their texts, and equal rows follow each other. An empty
+    table gives a file without segments. Other columns are ignored. Texts are
+    range-partitioned on doc_id once, as they are smaller than their ids; tokens are
+    written by the tasks that make them.
     """
     spark = docs.sparkSession
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    placed = own.repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id")
+    placed = own.repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "text")
     placed.mapInArrow(partial(_segment_rows, tokenizer=tokenizer, end_id=end_id), SEGMENT).write.parquet(path)
 
 
@@ -249,7 +252,7 @@ def _id_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def read_tokens(spark: SparkSession, path: str) -> DataFrame:
-    """doc_id and ids of every document of a token file."""
+    """doc_id and ids of every document of a token file, a row for each that was written."""
     return spark.read.parquet(path).mapInArrow(_id_rows, "doc_id long, ids array<long>")
 
 
