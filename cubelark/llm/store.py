@@ -52,8 +52,31 @@ def release(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+#: Paths given out, by application.
+_GIVEN: dict[str, list[str]] = {}
+
+
 def fresh_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    _GIVEN.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
+
+
+def clear(spark: SparkSession) -> int:
+    """Delete the intermediate tables and checkpoints of this application; returns how many folders.
+
+    Results are read from them, and tasks that are run again read them too. So this is for the
+    end, when all results have been written elsewhere.
+    """
+    context = spark.sparkContext
+    paths = _GIVEN.pop(context.applicationId, []) + ([context.getCheckpointDir()] if context.getCheckpointDir() else [])
+    gone = 0
+    for path in paths:
+        place = context._jvm.org.apache.hadoop.fs.Path(path)
+        gone += bool(place.getFileSystem(context._jsc.hadoopConfiguration()).delete(place, True))
+    if context.getCheckpointDir():
+        context.setCheckpointDir(shared_dir(spark))  # a new folder for what follows
+    return gone
 
 
 def unused(df: DataFrame, name: str) -> str:

@@ -220,6 +220,18 @@ def test_join_without_hot_tasks_and_numbers_without_one_task(spark):
     assert len(got) == 6001
 
 
+def test_intermediate_tables_can_be_cleared(spark):
+    import os
+
+    from cubelark.llm import store
+
+    one, two = store.written(spark.range(3)), store.durable(spark.range(4))
+    path = one.inputFiles()[0].removeprefix("file:").removeprefix("//")
+    assert os.path.exists(path) and two.count() == 4
+    assert store.clear(spark) >= 2 and not os.path.exists(path)
+    assert store.written(spark.range(3)).count() == 3 and store.durable(spark.range(4)).count() == 4
+
+
 def test_near_copies_of_long_sets_in_small_blocks(spark, monkeypatch):
     """Sets over 1200 shingles, in groups just over and just under the bound, with blocks of few members."""
     monkeypatch.setattr(ngram_join, "BLOCK", 8)
