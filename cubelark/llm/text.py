@@ -6,6 +6,7 @@ Whitespace is ``[\\x20\\x09-\\x0D]`` throughout.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -49,8 +50,16 @@ def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return buf, offs - offs[0]
 
 
+def settle() -> None:
+    """Give freed memory back to the system, as Python workers live on into later stages."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def slices(batch: pa.RecordBatch, column: str, most: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
-    """Cut a batch into runs of whole rows with about `most` bytes of text each."""
+    """Cut a batch into runs of whole rows with about `most` bytes of text each; settle after the last."""
     if not batch.num_rows:
         return
     _, offs = utf8(batch.column(batch.schema.get_field_index(column)))
@@ -59,6 +68,7 @@ def slices(batch: pa.RecordBatch, column: str, most: int = CHUNK_BYTES) -> Itera
         to = max(at + 1, int(np.searchsorted(offs, offs[at] + most, "right")) - 1)
         yield batch.slice(at, to - at)
         at = to
+    settle()
 
 
 def word_spans(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
