@@ -30,13 +30,16 @@ def bitmap(set_bits: DataFrame, column: str) -> DataFrame:
 def keep_possible(df: DataFrame, bits_set: DataFrame, key: Column, bits: int, hashes: int = 2) -> DataFrame:
     """Add boolean _maybe: whether all of the key's bits are set.
 
-    The bitmap is at most bits / 8 bytes whatever the data, so it may be broadcast.
+    The bitmap is at most bits / 8 bytes whatever the data, so it may be broadcast,
+    as words of four bytes that a row's bits are looked up in.
     """
     probe = df
     hit = F.lit(True)
+    words = F.expr("transform(sequence(0, 1023), i -> cast(conv(hex(substring(bitmap, i * 4 + 1, 4)), 16, 10) as bigint))")
     for k, position in enumerate(positions(key, bits, hashes)):
-        side = F.broadcast(bits_set.select(F.col("bucket").alias(f"_b{k}"), F.col("bitmap").alias(f"_m{k}")))
+        side = F.broadcast(bits_set.select(F.col("bucket").alias(f"_b{k}"), words.alias(f"_m{k}")))
         probe = probe.withColumn(f"_p{k}", position).join(side, F.bitmap_bucket_number(F.col(f"_p{k}")) == F.col(f"_b{k}"), "left")
-        hit = hit & F.coalesce(F.expr(f"(shiftright(cast(conv(hex(substring(_m{k}, cast(bitmap_bit_position(_p{k}) div 8 as int) + 1, 1)), 16, 10) as int), cast(bitmap_bit_position(_p{k}) % 8 as int)) & 1) = 1"), F.lit(False))
+        at = f"bitmap_bit_position(_p{k})"  # bits of a byte count from its lowest one, bytes of a word from its highest
+        hit = hit & F.coalesce(F.expr(f"(shiftright(_m{k}[cast({at} div 32 as int)], cast((3 - ({at} div 8) % 4) * 8 + {at} % 8 as int)) & 1) = 1"), F.lit(False))
     drop = [f"_{x}{k}" for x in "pbm" for k in range(hashes)]
     return probe.withColumn("_maybe", hit).drop(*drop)

@@ -21,6 +21,9 @@ leaves, lines and templates are told apart by two 64-bit hashes each.
 
 from __future__ import annotations
 
+import operator
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -42,8 +45,9 @@ FIELD = "<*>"
 
 
 def _flat(line: Column) -> Column:
-    """Single spaces between tokens."""
-    return F.btrim(F.regexp_replace(line, r"[\x20\x09\x0B-\x0D]+", " "), F.lit(" "))
+    """Single spaces between tokens; the pattern runs only where a plain search has found something to replace."""
+    odd = reduce(operator.or_, [F.contains(line, F.lit(x)) for x in ("  ", "\t", "\r", "\x0b", "\x0c")])
+    return F.btrim(F.when(odd, F.regexp_replace(line, r"[\x20\x09\x0B-\x0D]+", " ")).otherwise(line), F.lit(" "))
 
 
 def _id(*columns: Column | str) -> Column:
